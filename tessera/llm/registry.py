@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprint, quality
+from tessera.llm import bpe, fingerprint, quality, secrets, shards
 from tessera.llm._io import table
 
 
@@ -25,6 +25,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.placement(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -32,7 +40,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_quality": op4_quality,
+    "op8_secrets": op8_secrets,
     "op9_fingerprints": op9_fingerprints,
+    "op10_shards": op10_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
