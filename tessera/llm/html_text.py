@@ -45,6 +45,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open p ends where one of these begins.
 CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr legend summary dd dt li figcaption".split())
 #: Words of a class, id or role that mark furniture.
@@ -58,7 +59,6 @@ MARKS = frozenset(
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))""", re.S)
-_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
@@ -96,7 +96,7 @@ def blocks(html: str) -> list[Block]:
 
     def close() -> None:
         nonlocal current
-        text = _SPACE.sub(" ", unescape("".join(current.text))).strip()
+        text = " ".join(unescape("".join(current.text)).split())
         if text:
             current.text = [text]
             out.append(current)
@@ -108,10 +108,10 @@ def blocks(html: str) -> list[Block]:
     def add(raw: str) -> None:
         if not current.text or not "".join(current.text).strip():
             current.furniture, current.article = context()
-            current.heading = any(re.fullmatch("h[1-6]", n) for n, _, _ in stack[-4:])
+            current.heading = any(n in HEADINGS for n, _, _ in stack[-4:])
         current.text.append(raw)
         if links:
-            current.linked += len(_SPACE.sub(" ", unescape(raw)).strip())
+            current.linked += len(" ".join(unescape(raw).split()))
 
     at, n = 0, len(html)
     while at < n:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprint, html_text, quality, secrets, shards
+from tessera.llm import bpe, fingerprint, html_text, ngram_join, quality, secrets, shards
 from tessera.llm._io import table
 
 
@@ -25,6 +25,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.pages_text(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_quality": op4_quality,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_html_text": op6_html_text,
     "op8_secrets": op8_secrets,
     "op9_fingerprints": op9_fingerprints,
