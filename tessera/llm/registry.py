@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, fingerprint, html_text, ngram_join, quality, secrets, shards
+from tessera.llm import bpe, decontaminate, fingerprint, html_text, ngram_join, pii, quality, secrets, shards
 from tessera.llm._io import table
 
 
@@ -17,6 +17,18 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: Production reads its key from the session; the fixed one serves where none is set.
+KEY_SETTING, KEY = "spark.tessera.pii.key", "tessera-surrogates"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_texts(table(spark, sf_dir, "documents"), pii_key(spark))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *tokenizer())
 
@@ -50,6 +62,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
