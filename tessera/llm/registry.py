@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, fingerprint, html_text, ngram_join, pii, quality, secrets, shards
+from tessera.llm import bpe, decontaminate, fingerprint, html_text, lm_score, ngram_join, pii, quality, secrets, shards
 from tessera.llm._io import table
 
 
@@ -49,6 +49,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.pages_text(table(spark, sf_dir, "pages"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.corpus_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -68,9 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_html_text": op6_html_text,
+    "op7_lm_scores": op7_lm_scores,
     "op8_secrets": op8_secrets,
     "op9_fingerprints": op9_fingerprints,
     "op10_shards": op10_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_lm_scores": lm_score.oracle()}
