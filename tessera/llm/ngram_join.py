@@ -17,11 +17,15 @@ drops empty parts and parts filled by passages that half the corpus holds,
 without losing any pair.  (Which shingles count as common comes from a bounded
 sample and changes cost, never results.)
 
-Candidates are verified by exact intersection.  Texts with equal sets are one
-class from the start.  Inside a signature's group first only neighbours in a
-fixed order are verified; links found join classes into components; then only
-pairs that still lie in different components are verified, so a group of n
-near copies costs about n checks, and no group emits all its pairs.
+Texts with equal sets are one class from the start.  Candidates are verified
+by exact intersection, in two steps.  First every class is held against the
+leaders of its signatures' groups (the member that shares most), which joins
+families of near copies at a few checks a member.  Then only pairs that still
+lie in different components are looked at, and inside the join itself: a pair
+leaves it only if its sizes fit and the odd sketches (parities of the sets'
+elements by hash) differ in no more bits than similar sets can; then it must
+share as many signatures as similar sets of its sizes at least do.  All these
+bounds are exact.  So no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +48,10 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Extra parts that the ranking may leave out, as a share of the needed ones.
 SLACK = 0.5
+#: 64-bit words in a set's odd sketch.
+SKETCH = 16
+#: Leaders that each class is held against first.
+LEADERS = 3
 #: Texts in the sample that finds common shingles, in how many of them a shingle must be, and most shingles kept.
 SAMPLE, SEEN, COMMON = 2000, 8, 20000
 #: Most class ids that are sent to all nodes; beyond, a shuffled join takes over.
@@ -69,8 +77,8 @@ def differ(a: int, b: int) -> int:
 
 
 @cache
-def _plan(size: int) -> tuple[tuple[int, int, int], ...]:
-    """(level, parts, how many to emit) for a set of ``size`` elements."""
+def _plan(size: int) -> tuple[tuple[int, int, int, bool], ...]:
+    """(level, parts, how many to emit, whether it's the set's own level) for a set of ``size`` elements."""
     bands = _bands(max(4 * size, 64))
     band = next(i for i, high in enumerate(bands) if size <= high)
     out = []
@@ -86,18 +94,18 @@ def _plan(size: int) -> tuple[tuple[int, int, int], ...]:
             if -(-size * NUM // DEN) > top:
                 continue  # nothing in the lower band is large enough
             d = differ(size, top)
-        out.append((level, parts, min(parts, d + 1)))
+        out.append((level, parts, min(parts, d + 1), level == band))
     return tuple(out)
 
 
-def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Signatures (uint64) of one set of distinct hashes."""
-    out = []
+def signatures(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (uint64) of one set of distinct hashes; and how many its level has, negative if the level isn't its own."""
+    out, kind = [], []
     weight = np.full(len(s), 1.0)
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         weight[common[at] == s] = 1e-6
-    for level, parts, emit in _plan(len(s)):
+    for level, parts, emit, own in _plan(len(s)):
         seed = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
         m = _text.mix(s ^ seed)
         part = ((m >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -111,7 +119,8 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
             rank = np.lexsort((sig, -mass))  # equal signatures have equal content, and so equal mass
             sig = sig[rank[:emit]]
         out.append(sig)
-    return np.concatenate(out)
+        kind.append(np.full(len(sig), emit if own else -emit, np.int32))
+    return np.concatenate(out), np.concatenate(kind)
 
 
 def _sets(batch_text: pa.Array):
@@ -160,27 +169,44 @@ def _signature_rows(docs: DataFrame, text_col: str, common: np.ndarray) -> DataF
         for batch in batches:
             s, _, bounds = _sets(batch.column(0))
             c = _text.fold_sets(s, bounds).view(np.int64)
-            parts, owner = [], []
+            parts: list[tuple[np.ndarray, np.ndarray]] = []
+            owner: list[int] = []
             for i in np.flatnonzero(np.diff(bounds)):
                 if int(c[i]) in seen:
                     continue
-                seen.add(int(c[i]))
-                sig = signatures(s[bounds[i] : bounds[i + 1]], sent.value)
-                parts.append(sig)
-                owner.append((c[i], len(sig)))
                 if len(seen) > 1_000_000:
                     seen.clear()  # only saves work: copies that come again are dropped later
-                if sum(map(len, parts[-1:])) and len(parts) >= 512:
-                    yield _pairs(parts, owner)
+                seen.add(int(c[i]))
+                parts.append(signatures(s[bounds[i] : bounds[i + 1]], sent.value))
+                owner.append(int(c[i]))
+                if len(parts) >= 512:
+                    yield packed(parts, owner)
                     parts, owner = [], []
             if parts:
-                yield _pairs(parts, owner)
+                yield packed(parts, owner)
+
+    def packed(parts: list[tuple[np.ndarray, np.ndarray]], owner: list[int]) -> pa.RecordBatch:
+        c = np.repeat(np.array(owner, np.int64), [len(x) for x, _ in parts])
+        sig, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(c), pa.array(kind, pa.int32())], names=["sig", "c", "e"])
+
+    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "sig long, c long, e int")
+
 
-    def _pairs(parts: list, owner: list) -> pa.RecordBatch:
-        c = np.repeat(np.array([x for x, _ in owner], np.int64), [n for _, n in owner])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(c)], names=["sig", "c"])
+def odd_sketches(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity, for each of 64 * SKETCH hash values, of how many elements of each set have it: SKETCH words a set.
 
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "sig long, c long")
+    Sketches of two sets differ in at most as many bits as the sets differ in elements.
+    """
+    bits = 64 * SKETCH
+    at = (_text.mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)).astype(np.int64) % bits
+    out = []
+    for k in range(0, len(bounds) - 1, 512):
+        part = bounds[k : k + 513]
+        doc = np.repeat(np.arange(len(part) - 1), np.diff(part))
+        odd = np.bincount(doc * bits + at[part[0] : part[-1]], minlength=(len(part) - 1) * bits) & 1
+        out.append(np.packbits(odd.astype(bool).reshape(-1, bits), axis=1).view(np.int64))
+    return np.concatenate(out) if out else np.zeros((0, SKETCH), np.int64)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -191,39 +217,53 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def _most(a: Column, b: Column) -> Column:
+    """``differ`` as a column expression."""
+    both = a + b
+    return both - 2 * F.floor((NUM * both + NUM + DEN - 1) / F.lit(float(NUM + DEN)))
+
+
 def links(docs: DataFrame, members: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Links (u, v) between classes that connect all classes that any links connect.
 
     ``members`` has (id, n, c) as ``classes`` gives them.  Verified pairs that
     would only join what is joined already are left out.
     """
-    spark = docs.sparkSession
     rows = _signature_rows(docs, text_col, common_shingles(docs, text_col))
     by = Window.partitionBy("sig").orderBy("c")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select("sig", "c", F.lag("c").over(by).alias("before"), (F.first("c").over(whole) != F.last("c").over(whole)).alias("several"))
+    rows = rows.select("sig", "c", "e", F.lag("c").over(by).alias("before"), (F.first("c").over(whole) != F.last("c").over(whole)).alias("several"))
     # copies in other tasks give the same row again: keep the first of each
-    shared = materialise(rows.where("several and (before is null or before <> c)").drop("several"), "shared")
-    first = shared.where("before is not null").select(F.col("before").alias("a"), F.col("c").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    # of each class's neighbours the one that shares most: a pair for each class at most
-    first = materialise(first.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"), "first")
-    ids = shared.select("c").distinct()
-    wanted = members.join(ids, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    shared = materialise(rows.where("several and (before is null or before <> c)").select("sig", "c", "e"), "shared")
+    wanted = members.join(shared.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
     wanted = materialise(wanted, "wanted")
-    n_wanted = wanted.count()
-    sets = materialise(_sets_of(docs, wanted, n_wanted, id_col, text_col), "sets")
+    sets = materialise(_sets_of(docs, wanted, wanted.count(), id_col, text_col), "sets")
+
+    # step one: against the leaders of its groups, those first that it meets most often
+    popular = shared.join(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig").groupBy("c").agg(F.sum("size").alias("p"))
+    leader = shared.join(popular, "c").groupBy("sig").agg(F.max(F.struct("p", "c")).alias("l")).select("sig", F.col("l.c").alias("a"))
+    met = shared.join(leader, "sig").where("a <> c").groupBy("a", F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    best = met.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))).where(F.col("r") <= LEADERS)
+    first = materialise(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
     found = materialise(_verify(first, sets), "found")
+
+    # step two: what still lies in different components
     label = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labelled = shared.join(label.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", F.coalesce("component", "c").alias("g"))
-    labelled = materialise(labelled.withColumn("_mixed", F.min("g").over(Window.partitionBy("sig")) != F.max("g").over(Window.partitionBy("sig"))).where("_mixed").drop("_mixed"), "mixed")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.g") < F.col("y.g"))).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-    for side in ("a", "b"):
-        rest = rest.join(wanted.select(F.col("c").alias(side), F.col("n").alias(f"n{side}")), side)
-    rest = rest.where((F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)).select("a", "b")
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = materialise(_verify(rest, sets), "found")
-    for used in (shared, first, labelled, sets, wanted):
+    sketches = [f"k{i}" for i in range(SKETCH)]
+    group = Window.partitionBy("sig")
+    mixed = shared.join(label.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "e", F.coalesce("component", "c").alias("g"))
+    mixed = mixed.withColumn("_m", F.min("g").over(group) != F.max("g").over(group)).where("_m").drop("_m")
+    mixed = materialise(mixed.join(sets.select("c", "n", *sketches), "c"), "mixed")
+    x, y = (mixed.select(*(F.col(c).alias(f"{c}_{t}") for c in mixed.columns)) for t in "xy")
+    apart = sum((F.bit_count(F.col(f"{k}_x").bitwiseXOR(F.col(f"{k}_y"))) for k in sketches), F.lit(0))
+    nx, ny = F.col("n_x"), F.col("n_y")
+    fits = (F.col("sig_x") == F.col("sig_y")) & (F.col("g_x") < F.col("g_y"))
+    # a level is for pairs of which it is one's own
+    fits &= ((F.col("e_x") > 0) | (F.col("e_y") > 0)) & (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & (apart <= _most(nx, ny))
+    pairs = x.join(y, fits).select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b"), (F.least(F.abs("e_x"), F.abs("e_y")) - _most(nx, ny)).alias("least"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("least").alias("least")).where("k >= least").select("a", "b")
+    more = materialise(_verify(pairs.join(first, ["a", "b"], "left_anti"), sets), "found")
+    for used in (shared, first, mixed, sets, wanted):
         discard(used)
     return found.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -234,13 +274,20 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, tex
     wanted = wanted.select("id", "c")
     side = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
     picked = texts.join(side, "id").select("c", "t")
-    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
+    sketches = [f"k{i}" for i in range(SKETCH)]
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.LongType())), *(T.StructField(k, T.LongType()) for k in sketches)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s, _, bounds = _sets(batch.column(1))
             right = pa.array(_text.fold_sets(s, bounds).view(np.int64)).to_numpy() == batch.column(0).to_numpy()
-            out = pa.RecordBatch.from_arrays([batch.column(0), _text.list_column(s.view(np.int64), bounds, pa.int64())], names=["c", "s"])
+            words = odd_sketches(s, bounds)
+            out = pa.RecordBatch.from_arrays([
+                batch.column(0),
+                pa.array(np.diff(bounds), pa.int64()),
+                _text.list_column(s.view(np.int64), bounds, pa.int64()),
+                *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH)),
+            ], names=schema.names)
             yield out.filter(pa.array(right))  # rows may share an id
 
     return picked.mapInArrow(run, schema).dropDuplicates(["c"])
