@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.plans.compile import Rows
+from tessera.session import share_code
 
 DOCUMENT = T.StructType([
     T.StructField("id", T.StringType()),
@@ -114,6 +115,7 @@ class Tables(dict):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
+        share_code(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __contains__(self, name: object) -> bool:
