@@ -7,8 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import share_code
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +33,7 @@ def materialise(df: DataFrame, what: str, partition_by: str | None = None) -> Da
     the cluster's owner clears the folder, as the returned frame is lazy.
     """
     spark = df.sparkSession
+    share_code(spark)
     path = f"{shared_dir(spark)}/tessera-{what}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:

@@ -24,6 +24,8 @@ BITS = 18
 #: Most labelled texts that a fit reads (and most bytes of text): the bound of its one task.
 FIT_ROWS, FIT_BYTES = 8000, 64 << 20
 THRESHOLD = 0.3
+#: Updates that a fit aims at.
+UPDATES = 24_000
 #: A relative frequency times this is a feature's value.
 SCALE = 64.0
 
@@ -57,8 +59,9 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, *, bits: int = BITS, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> Model:
-    """FTRL-proximal passes over the rows in the order given."""
+def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, *, bits: int = BITS, epochs: int | None = None, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> Model:
+    """FTRL-proximal passes over the rows in the order given: 3, or more over few rows."""
+    epochs = epochs or min(20, max(3, UPDATES // max(1, len(labels))))
     slots, value, bounds = features(data, offsets, bits)
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
@@ -125,6 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["w", "b"])
 
     row = texts.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id").mapInArrow(run, "w binary, b double").first()
+    if row is None:  # nothing labelled, so no task had rows
+        return Model(np.zeros(1 << BITS, np.float32), 0.0)
     return Model(np.frombuffer(row.w, np.float32), row.b)
 
 
