@@ -11,10 +11,14 @@ however long one text is: work is cut at separators, not at documents.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import warnings
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Hashes wrap around by design.
 warnings.filterwarnings("ignore", "overflow encountered", RuntimeWarning)
@@ -74,6 +78,38 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are kept and reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run):
+    """A generator function over batches that trims memory when its task ends."""
+
+    @wraps(run)
+    def wrapper(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapper
+
+
+def slices(batch: pa.RecordBatch, at: int, budget: int = 4 << 20):
+    """The batch in runs of rows of about ``budget`` bytes of text (one row at least), to bound memory."""
+    column = batch.column(at)
+    size = np.cumsum(np.nan_to_num(pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(float)))
+    start = 0
+    while start < batch.num_rows:
+        done = size[start - 1] if start else 0.0
+        stop = max(start + 1, int(np.searchsorted(size, done + budget, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _cuts(data: np.ndarray, offsets: np.ndarray, same: np.ndarray):
     """Chunk bounds that fall on a text's edge or where ``same`` allows a cut."""
     at, n = 0, len(data)

@@ -27,6 +27,8 @@ from tessera.llm import _text
 NONE = np.int32(2**31 - 1)
 #: Pieces over this many bytes are merged with a heap: rounds over a matrix would be quadratic.
 LONG = 2048
+#: Bytes of text that are encoded at once: more would find more pieces again, but take more memory.
+BLOCK = 3 << 20
 #: Finds a white-space character before a space.
 BLANK_SPACE = regex.compile(r"\s ").search
 #: Marks that are a piece by themselves after a word.
@@ -284,19 +286,6 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _loaded[path, pattern]
 
 
-def blocks(texts: list, budget: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most ``budget`` characters (one row at least)."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
-        if i > at and size + n > budget:
-            yield at, i
-            at, size = i, 0
-        size += n
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encode(df: DataFrame, vocab_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text: one row per input row, ``(id_col, n_tokens, ids)``.
 
@@ -306,15 +295,15 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, *, id_col: str = "doc_i
     """
     schema = T.StructType([df.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                ids, bounds = vocab.encode(texts[a:b])
+            for part in _text.slices(batch, 1, BLOCK):
+                ids, bounds = vocab.encode(part.column(1).to_pylist())
                 packed = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a),
+                    part.column(0),
                     pa.array(np.diff(bounds), pa.int64()),
                     pa.array([packed[4 * x : 4 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                 ], names=[id_col, "n_tokens", "ids"])
@@ -327,9 +316,10 @@ def decode(df: DataFrame, vocab_path: str, pattern: str, *, ids_col: str = "ids"
     df = df.drop(out_col)
     at = df.columns.index(ids_col)
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path, pattern)
-        for batch in batches:
+        for batch in (part for b in batches for part in _text.slices(b, at, 1 << 20)):
             done = [None if x is None else vocab.decode(np.frombuffer(x, "<u4").astype(np.int64)).tobytes() for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], names=[*batch.schema.names, out_col])
 

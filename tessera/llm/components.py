@@ -37,6 +37,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialise(now, "links")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     mark = None
     for _ in range(most_rounds):
         new = materialise(_star(_star(now, True), False), "links")

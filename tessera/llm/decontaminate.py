@@ -200,9 +200,10 @@ def find(df: DataFrame, index: Index, *, text_col: str, out_col: str) -> DataFra
     at = df.columns.index(text_col)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64()), ("distance", pa.int32())]))
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        for batch in batches:
+        for batch in (part for b in batches for part in _text.slices(b, at)):
             h, bounds = _text.tokens(*_text.buffers(batch.column(at)), wordy=True)
             s, at_s = _text.grams(h, bounds, WORDS, short=False)
             found = index.search(h, bounds, s, at_s)

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import _text
+
 #: Frequent function words of the supported languages.
 STOP_WORDS = frozenset(
     "a about all also an and are as at be been but by can do for from had has have he her his i if in is it its more "
@@ -247,6 +249,7 @@ def extract(df: DataFrame, *, html_col: str = "html", out_col: str = "text") ->
     names = [c for c in df.columns if c not in (html_col, out_col)]
     df = df.select(*names, F.col(html_col).cast("string").alias("_html"))
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [main_text(x) for x in batch.column(len(names)).to_pylist()]

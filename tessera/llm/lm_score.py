@@ -60,6 +60,15 @@ def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((grams >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values byte plane by byte plane: sorted hashes and small counts then compress in the shuffle."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(packed: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 def _counts(uniq: np.ndarray, count: np.ndarray, words: int) -> np.ndarray:
     count = count.astype(np.int64)
     count[uniq == _TOTAL] = words
@@ -113,14 +122,14 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", orde
         return pa.table({
             "bucket": pa.array(some, pa.int32()),
             "chunk": pa.array(np.full(len(some), table.column("chunk")[0].as_py()), pa.int64()),
-            "grams": pa.array([uniq[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary()),
-            "counts": pa.array([count[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary()),
+            "grams": pa.array([_planes(uniq[edge[b] : edge[b + 1]]) for b in some], pa.binary()),
+            "counts": pa.array([_planes(count[edge[b] : edge[b + 1]]) for b in some], pa.binary()),
         })
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+        asked = [_from_planes(x, np.uint64) for x in table.column("grams").to_pylist()]
         every = np.concatenate(asked)
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([_from_planes(x, np.int64) for x in table.column("counts").to_pylist()])
         order_ = np.argsort(every, kind="stable")
         every, counts = every[order_], counts[order_]
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
@@ -128,7 +137,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", orde
         return pa.table({
             "chunk": table.column("chunk"),
             "bucket": table.column("bucket"),
-            "totals": pa.array([total[np.searchsorted(known, x)].tobytes() for x in asked], pa.binary()),
+            "totals": pa.array([_planes(total[np.searchsorted(known, x)]) for x in asked], pa.binary()),
         })
 
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -136,9 +145,10 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", orde
         _, inverse, _ = _distinct(grams)
         buckets = answers.column("bucket").to_numpy()
         packed = answers.column("totals").to_pylist()
-        totals = np.concatenate([np.frombuffer(packed[i], np.int64) for i in np.argsort(buckets, kind="stable")])
+        totals = np.concatenate([_from_planes(packed[i], np.int64) for i in np.argsort(buckets, kind="stable")])
         n = np.diff(bounds)
         got = log_scores(bounds, grams, inverse, totals, order)
+        _text.trim()
         mean = pa.array(got / np.maximum(n, 1), pa.float64(), mask=n == 0)
         return pa.table({id_col: texts.column("id"), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(got, pa.float64()), "mean_log_score": mean})
 

@@ -132,8 +132,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, size of its set, and the set's class (null for an empty set)."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("c", T.LongType())])
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _text.slices(b, 1)):
             s, _, bounds = _sets(batch.column(1))
             n = np.diff(bounds)
             c = pa.array(_text.fold_sets(s, bounds).view(np.int64), pa.int64(), mask=n == 0)
@@ -142,31 +143,31 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
 
 
-def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Shingles that many texts of a bounded sample hold, ascending."""
-    text = F.col(text_col).cast("string")
-    # the least hashes: spread over the corpus, at most SAMPLE rows through one small task
-    chosen = docs.select(text.alias("t")).where(F.length("t") > 0).select(F.xxhash64("t").alias("h"), F.substring("t", 1, 1 << 20).alias("t"))
-    chosen = chosen.where(F.pmod(F.xxhash64("h"), F.lit(64)) == 0).orderBy("h").limit(SAMPLE)
+def common_shingles(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles that many classes of a bounded sample (those of least hash) hold, ascending."""
+    chosen = members.groupBy("c").agg(F.min("id").alias("id")).orderBy(F.xxhash64("c"), "c").limit(SAMPLE)
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_sets(b.column(0))[0] for b in batches]
-        s, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
-        keep = n >= SEEN
-        s, n = s[keep], n[keep]
+        found = [b.column(0).flatten().to_numpy() for b in batches]
+        s, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, int))
+        s, n = s[n >= SEEN], n[n >= SEEN]
         top = np.argsort(-n, kind="stable")[:COMMON]
-        yield pa.RecordBatch.from_arrays([pa.array(np.sort(s[top]).view(np.int64), pa.int64())], names=["s"])
+        yield pa.RecordBatch.from_arrays([pa.array(s[top], pa.int64())], names=["s"])
 
-    return np.sort(np.array([r.s for r in chosen.select("t").mapInArrow(run, "s long").collect()], np.int64).view(np.uint64))
+    sets = _sets_of(docs, chosen, SAMPLE, id_col, text_col).select("s")
+    found = sets.repartition(1).mapInArrow(run, "s long").toPandas()  # COMMON rows at most
+    return np.sort(found["s"].to_numpy(np.int64).view(np.uint64))
 
 
 def _signature_rows(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
     """(signature, class), once for each class that a task sees."""
     sent = docs.sparkSession.sparkContext.broadcast(common)  # COMMON numbers at most
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for b in batches for part in _text.slices(b, 0)):
             s, _, bounds = _sets(batch.column(0))
             c = _text.fold_sets(s, bounds).view(np.int64)
             parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -229,7 +230,8 @@ def links(docs: DataFrame, members: DataFrame, *, id_col: str, text_col: str) ->
     ``members`` has (id, n, c) as ``classes`` gives them.  Verified pairs that
     would only join what is joined already are left out.
     """
-    rows = _signature_rows(docs, text_col, common_shingles(docs, text_col))
+    spark = docs.sparkSession
+    rows = _signature_rows(docs, text_col, common_shingles(docs, members, id_col, text_col))
     by = Window.partitionBy("sig").orderBy("c")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.select("sig", "c", "e", F.lag("c").over(by).alias("before"), (F.first("c").over(whole) != F.last("c").over(whole)).alias("several"))
@@ -237,7 +239,10 @@ def links(docs: DataFrame, members: DataFrame, *, id_col: str, text_col: str) ->
     shared = materialise(rows.where("several and (before is null or before <> c)").select("sig", "c", "e"), "shared")
     wanted = members.join(shared.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
     wanted = materialise(wanted, "wanted")
-    sets = materialise(_sets_of(docs, wanted, wanted.count(), id_col, text_col), "sets")
+    n_wanted = wanted.count()
+    if not n_wanted:
+        return spark.createDataFrame([], "u long, v long")
+    sets = materialise(_sets_of(docs, wanted, n_wanted, id_col, text_col), "sets")
 
     # step one: against the leaders of its groups, those first that it meets most often
     popular = shared.join(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig").groupBy("c").agg(F.sum("size").alias("p"))
@@ -277,8 +282,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, tex
     sketches = [f"k{i}" for i in range(SKETCH)]
     schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.LongType())), *(T.StructField(k, T.LongType()) for k in sketches)])
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _text.slices(b, 1)):
             s, _, bounds = _sets(batch.column(1))
             right = pa.array(_text.fold_sets(s, bounds).view(np.int64)).to_numpy() == batch.column(0).to_numpy()
             words = odd_sketches(s, bounds)
@@ -314,5 +320,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns, that are their component's least id; equal ids in a component keep one row."""
     marks = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col)
-    gone = marks.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone = materialise(marks.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import _text
 from tessera.llm._io import fresh
 
 ROUNDS = 8
@@ -319,6 +320,7 @@ def pseudonymise(df: DataFrame, key: str, *, text_col: str = "text", spans_col:
         df = df.withColumn(text_col, F.col(text_col).cast("string"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key.encode())
         for batch in batches:

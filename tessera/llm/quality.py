@@ -22,7 +22,7 @@ from tessera.llm import _text
 
 BITS = 18
 #: Most labelled texts that a fit reads (and most bytes of text): the bound of its one task.
-FIT_ROWS, FIT_BYTES = 8000, 64 << 20
+FIT_ROWS, FIT_BYTES = 6000, 24 << 20
 THRESHOLD = 0.3
 #: Updates that a fit aims at.
 UPDATES = 24_000
@@ -62,7 +62,6 @@ def sigmoid(x):
 def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, *, bits: int = BITS, epochs: int | None = None, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> Model:
     """FTRL-proximal passes over the rows in the order given: 3, or more over few rows."""
     epochs = epochs or min(20, max(3, UPDATES // max(1, len(labels))))
-    slots, value, bounds = features(data, offsets, bits)
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -72,9 +71,10 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, *, bits: in
         return np.where(np.abs(zi) <= l1, 0.0, w)
 
     rows = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        i, back = np.unique(slots[a:b], return_inverse=True)
-        rows.append((np.append(i, size), np.append(np.bincount(back, value[a:b], len(i)), 1.0)))
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        slots, value, _ = features(data[a:b], np.array([0, b - a], np.int64), bits)
+        i, back = np.unique(slots, return_inverse=True)
+        rows.append((np.append(i, size).astype(np.int32), np.append(np.bincount(back, value, len(i)), 1.0).astype(np.float32)))
     for _ in range(epochs):
         for (i, x), y in zip(rows, labels, strict=True):
             w = weight(i)
@@ -111,6 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull())
     texts = read.join(F.broadcast(chosen), "_id").select("_id", "_t", "_y")
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[int, str, int]] = []
         used = 0
@@ -142,8 +143,9 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", score_col: str
     at = df.columns.index(text_col)
     sent = df.sparkSession.sparkContext.broadcast(model)  # 4 * 2**bits bytes
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _text.slices(b, at)):
             got = scores(sent.value, *_text.buffers(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, score_col])
 
@@ -155,8 +157,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     model = fit(docs, labels)
 
+    @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _text.slices(b, 1)):
             got = scores(sent.value, *_text.buffers(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
