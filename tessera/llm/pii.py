@@ -64,7 +64,6 @@ TITLES = {
     "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Sra": "f", "Señorita": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Lady": "f", "Doña": "f", "Госпожа": "f", "Κυρία": "f",
     "Dr": "n", "Prof": "n", "Professor": "n",
 }
-#: International prefixes whose national number follows in any grouping.
 _CAP = "[A-ZÀ-ÖØ-ÞΑ-ΩΆΈΉΊΌΎΏА-ЯЁ]"
 _LOW = "[a-zà-öø-ÿα-ωάέήίόύώςа-яё]"
 _NAME = rf"{_CAP}{_LOW}+(?:-{_CAP}{_LOW}+)*"
@@ -150,7 +149,7 @@ class Surrogates:
         low = f"{local}@{domain[:last]}".lower()
         new = self.text(low, f"email|{domain[last:].lower()}")
         if len(low) == last + len(local) + 1:
-            new = "".join(n.upper() if o.isupper() else n for n, o in zip(new, value, strict=False))
+            new = "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for n, o in zip(new, value, strict=False))
         return new + domain[last:]
 
     def _ip(self, value: str) -> str:
