@@ -28,7 +28,7 @@ NONE = np.int32(2**31 - 1)
 #: Pieces over this many bytes are merged with a heap: rounds over a matrix would be quadratic.
 LONG = 2048
 #: Bytes of text that are encoded at once: more would find more pieces again, but take more memory.
-BLOCK = 3 << 20
+BLOCK = 3 << 19
 #: Finds a white-space character before a space.
 BLANK_SPACE = regex.compile(r"\s ").search
 #: Marks that are a piece by themselves after a word.
