@@ -6,18 +6,19 @@ and b from Uniform(0, 1), all decided by the term's hash; then
 t = floor(ln w / r + b) and ln a = ln c - r (t + 1 - b).  The term of least a
 is the sample.  Two documents take the same sample with a chance equal to
 their generalised Jaccard similarity.  As a depends on (term, t) alone, the
-least ln a itself names the sample.
-
-Gamma variates come from quantile tables (inverse distribution function at
-the middles of ``_TABLE`` equal shares), so a sample costs one hash, two look
-ups and a few products inside generated code.
+least a itself names the sample.
+
+The variates are exact, and drawn from three independent Exp(1) variates
+a0, h and g: c = a0 + h is Gamma(2, 1), and a0 / c is uniform and independent
+of it, so e = ln(c / a0) is Exp(1); r = e + g is Gamma(2, 1), and b = g / r is
+uniform and independent of it.  With these, a = a0 exp(-r t) and
+t = floor((ln w + g) / r).  Compared is 1 - exp(-a), which grows with a: where
+t = 0, as with every term of weight 1, that is the uniform variate from which
+a0 is drawn, so that most terms take one hash and no logarithm.
 """
 
 from __future__ import annotations
 
-import math
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,40 +26,21 @@ from tessera.llm._order import boundaries, range_of
 
 SAMPLES = 32
 WORDS = 5
-_TABLE = 256
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-@cache
-def _quantiles() -> tuple[float, ...]:
-    """Gamma(2, 1) quantiles: solve 1 - (1 + x) e^-x = p by bisection."""
-    out, low = [], 0.0
-    for i in range(_TABLE):
-        p, high = (i + 0.5) / _TABLE, 60.0
-        a = low
-        for _ in range(60):
-            m = (a + high) / 2
-            a, high = (m, high) if 1 - (1 + m) * math.exp(-m) < p else (a, m)
-        low = a
-        out.append((a + high) / 2)
-    return tuple(out)
-
-
-@cache
-def _tables() -> tuple[str, str]:
-    q = _quantiles()
-    return "array(" + ",".join(f"{x!r}D" for x in q) + ")", "array(" + ",".join(f"{math.log(x)!r}D" for x in q) + ")"
-
-
 def _sample(j: int) -> Column:
-    """ln a of sample ``j``, from columns ``_x{j}`` (the term's bits) and ``_lnw`` (null: no term)."""
-    r_table, c_table = _tables()
+    """1 - exp(-a) of sample ``j``, from columns ``_x{j}`` (the term's bits) and ``_lnw`` (null: no term)."""
     x = f"_x{j}"
-    r = f"{r_table}[cast(shiftrightunsigned({x}, 56) as int)]"
-    c = f"{c_table}[cast({x} & 255 as int)]"
-    b = f"((shiftrightunsigned({x}, 14) & 68719476735L) * 1.4551915228366852E-11D)"
-    # t is 0 for weight 1, by far the most common
-    return F.expr(f"{c} - {r} * (if(_lnw = 0.0D, 0.0D, floor(_lnw / {r} + {b})) + 1.0D - {b})")
+    u = f"((shiftrightunsigned({x}, 12) + 0.5D) * 2.220446049250313E-16D)"
+    a = f"(-log1p(-{u}))"
+    # h and g take the halves of a second hash
+    y = f"xxhash64({x})"
+    h = f"(-ln((shiftrightunsigned({y}, 32) + 0.5D) * 2.3283064365386963E-10D))"
+    g = f"(-ln((({y} & 4294967295L) + 0.5D) * 2.3283064365386963E-10D))"
+    r = f"(log1p({h} / {a}) + {g})"
+    t = f"floor((_lnw + {g}) / {r})"
+    return F.expr(f"if(_lnw = 0.0D, {u}, if({t} = 0, {u}, -expm1(-{a} * exp(-{r} * {t}))))")
 
 
 def signatures(df: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:

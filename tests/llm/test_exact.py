@@ -316,6 +316,22 @@ def test_weights_count(spark):
     assert abs(same - 3 / 6) < 0.05
 
 
+def test_long_texts_with_repeated_lines(spark):
+    """Heavy terms among thousands of others: the tail of the variates decides."""
+    line = "the same line comes again and again at the foot of a page"  # 12 shingles that wrap around
+    rows, wanted = [], []
+    for k, (n, w) in enumerate([(5000, 700), (5000, 120), (12000, 1500)] * 4):
+        rest = " ".join(f"w{k}x{i}" for i in range(n))
+        a, b = rest + " . " + line, rest + " . " + " ".join([line] * w)
+        x, y = Counter(shingles(a.split())), Counter(shingles(b.split()))
+        wanted.append(sum((x & y).values()) / sum((x | y).values()))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    sig = {r.doc_id: r["_sig"] for r in fingerprint.signatures(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), ["doc_id"], "text", 128).collect()}
+    for j in range(3):
+        same = np.mean([[x == y for x, y in zip(sig[2 * k], sig[2 * k + 1], strict=True)] for k in range(j, 12, 3)])
+        assert abs(same - wanted[j]) < 4 * (wanted[j] * (1 - wanted[j]) / 512) ** 0.5, (j, same, wanted[j])
+
+
 # -- 10
 
 
