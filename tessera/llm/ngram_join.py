@@ -76,6 +76,17 @@ def differ(a: int, b: int) -> int:
     return both - 2 * -(-NUM * both // (NUM + DEN))
 
 
+def differ_up_to(low: int, high: int) -> int:
+    """Most elements that similar sets can differ in whose sizes add up to low .. high.
+
+    ``differ`` goes up and down with the sum of the sizes, but grows by one
+    every seven steps (NUM + DEN over DEN - NUM): the last seven sums have the
+    maximum.
+    """
+    period = (NUM + DEN) // (DEN - NUM)
+    return max(differ(0, both) for both in range(max(low, high - period + 1), high + 1))
+
+
 @cache
 def _plan(size: int) -> tuple[tuple[int, int, int, bool], ...]:
     """(level, parts, how many to emit, whether it's the set's own level) for a set of ``size`` elements."""
@@ -85,15 +96,17 @@ def _plan(size: int) -> tuple[tuple[int, int, int, bool], ...]:
     for level in (band, band - 1):
         if level < 0:
             continue
-        top = bands[level]
-        need = max(differ(top, min(bands[level + 1], top * DEN // NUM)), differ(top, top))
+        low, top = bands[level - 1] + 1 if level else 1, bands[level]
+        above = bands[level + 1]
+        need = differ_up_to(2 * low, top + min(above, top * DEN // NUM))
         parts = need + 1 + int(np.ceil(SLACK * (need + 1))) if need else 1
+        least = max(low, -(-size * NUM // DEN))  # of the sizes that this one can be similar to in the level
         if level == band:
-            d = max(differ(size, size), differ(size, min(bands[level + 1], size * DEN // NUM)))
+            d = differ_up_to(size + least, size + min(above, size * DEN // NUM))
         else:
-            if -(-size * NUM // DEN) > top:
+            if least > top:
                 continue  # nothing in the lower band is large enough
-            d = differ(size, top)
+            d = differ_up_to(size + least, size + top)
         out.append((level, parts, min(parts, d + 1), level == band))
     return tuple(out)
 

@@ -162,6 +162,26 @@ def test_similar_sets_share_a_signature():
     assert seen > 1000
 
 
+def test_signatures_suffice_at_every_pair_of_sizes():
+    """Of all similar sizes up to 600: both sides emit more signatures than similar sets differ in, on a common level."""
+    for a in range(1, 601):
+        for b in range(a, a * 100 // 75 + 1):
+            x, y = ({level: (parts, emit, own) for level, parts, emit, own in ngram_join._plan(n)} for n in (a, b))
+            level = next(k for k, (_, _, own) in x.items() if own)  # the smaller set's own
+            assert level in y and x[level][0] == y[level][0]
+            assert min(x[level][1], y[level][1]) > ngram_join.differ(a, b), (a, b)
+
+
+def test_boundary_pairs_share_a_signature():
+    """Sets with as many elements added as similarity allows, at sizes where the bound goes down as sizes go up."""
+    rng = np.random.default_rng(3)
+    for a, b in ((8, 10), (12, 16), (15, 20), (17, 22), (24, 32), (33, 44)):
+        for _ in range(300):
+            large = rng.integers(0, 2**63, b).astype(np.uint64)
+            x, y = (set(ngram_join.signatures(np.unique(s), np.zeros(0, np.uint64))[0].tolist()) for s in (large[:a], large))
+            assert x & y, (a, b)
+
+
 def brute_components(rows):
     sets = {i: frozenset(shingles(words(t or ""))) for i, t in rows}
     up = {i: i for i in sets}
