@@ -8,6 +8,12 @@ looking up every block finds all of them.  Candidates are verified by exact
 weighted-shingle similarity: five-word shingles weighted by their counts, sum
 of minima over sum of maxima, ``SIMILARITY`` or more.
 
+No radius bounds that similarity: a run of other words in a long item can move
+its fingerprint further.  So the items' shingles are indexed as well.  Of n
+shingles of a window, similar items lack at most n / 7 (``lacking``); windows
+of which an item lacks no more are candidates too, whatever their distance.
+Together the two lose no window that passes the check.
+
 Windows that hold too few words in item shingles to reach that similarity
 with any item are not fingerprinted; this loses nothing that could pass.
 Words are runs of letters and digits, A-Z folded; punctuation is ignored.
@@ -40,6 +46,12 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return _text.grams(h, np.array([0, len(h)]), WORDS)[0]
 
 
+def lacking(n: np.ndarray) -> np.ndarray:
+    """Most shingles, of a window's ``n``, that a similar item of as many can lack."""
+    # alike = i / (2 n - i) >= SIMILARITY  =>  n - i <= n (1 - SIMILARITY) / (1 + SIMILARITY)
+    return np.floor(n * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9).astype(np.int64)
+
+
 def _running(h: np.ndarray) -> np.ndarray:
     """Running sums of the words' 64 signs: row i holds the sum of the first i words."""
     bits = (h[:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1)
@@ -75,6 +87,14 @@ class Index:
         sets = [_shingles(w) for w in words]
         self.shingles = [Counter(x.tolist()) for x in sets]
         every = [np.zeros(0, np.uint64), *sets]
+        #: Each item's distinct shingles, ascending over all items, and who has them.
+        own = [np.unique(x) if len(w) >= WORDS else x[:0] for x, w in zip(sets, words, strict=True)]
+        holds, holder = np.concatenate([np.zeros(0, np.uint64), *own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = np.argsort(holds, kind="stable")
+        self.holds, self.holder = holds[order], holder[order]
+        grams = np.maximum(self.size - WORDS + 1, 0)
+        #: Fewest shingles of a similar window that each item has.
+        self.needed = grams - lacking(grams)
         self.blocks = []
         for first, width in block_bounds(radius):
             value = self._block(self.prints, self.length, first, width)
@@ -114,6 +134,30 @@ class Index:
         both = np.unique(np.concatenate(pairs))
         return both // max(1, len(self.ids)), both % max(1, len(self.ids))
 
+    def sharing(self, shingles: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (first word, item) of a text's windows of an item's length of which it lacks no more shingles than ``lacking``."""
+        firsts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        places = np.flatnonzero(hit)
+        value, which, times = np.unique(shingles[places], return_inverse=True, return_counts=True)
+        lo, hi = np.searchsorted(self.holds, value, "left"), np.searchsorted(self.holds, value, "right")
+        n = hi - lo
+        v = np.repeat(np.arange(len(value)), n)
+        holder = self.holder[np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        total = np.bincount(holder, times[v], len(self.ids))
+        for i in np.flatnonzero((total > 0) & (total >= self.needed)):
+            grams = int(self.size[i]) - WORDS + 1
+            if grams > len(shingles):
+                continue
+            mine = np.zeros(len(value), bool)
+            mine[v[holder == i]] = True
+            seen = np.zeros(len(shingles) + 1, np.int64)
+            seen[places + 1] = mine[which]
+            np.cumsum(seen, out=seen)
+            first = np.flatnonzero(seen[grams:] - seen[:-grams] >= self.needed[i])
+            firsts.append(first)
+            items.append(np.full(len(first), i))
+        return np.concatenate(firsts), np.concatenate(items)
+
     def windows(self, words: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, place of the length, fingerprint) of a text's windows that could reach the similarity."""
         seen = np.concatenate([[0], np.cumsum(hit)])
@@ -154,6 +198,7 @@ class Index:
         if 0 < self.shortest < WORDS:
             touched |= np.diff(bounds) >= self.shortest
         owner, start, place, prints = [], [], [], []
+        pairs: set[tuple[int, int, int]] = set()
         for i in np.flatnonzero(touched):
             a, p, f = self.windows(h[bounds[i] : bounds[i + 1]], hit[at_s[i] : at_s[i + 1]])
             if len(a):
@@ -161,12 +206,16 @@ class Index:
                 start.append(a)
                 place.append(p)
                 prints.append(f)
+                shared = self.sharing(s[at_s[i] : at_s[i + 1]], hit[at_s[i] : at_s[i + 1]])
+                pairs.update((int(i), x, y) for x, y in zip(*map(np.ndarray.tolist, shared), strict=True))
         if not owner:
             return {}
         owner, start, place, prints = map(np.concatenate, (owner, start, place, prints))
+        w, near = self.near(prints, place)
+        pairs.update(zip(owner[w].tolist(), start[w].tolist(), near.tolist(), strict=True))
         best: dict[tuple[int, int], tuple] = {}
-        for w, i in zip(*map(np.ndarray.tolist, self.near(prints, place)), strict=True):
-            doc, first, n = int(owner[w]), int(start[w]), int(self.size[i])
+        for doc, first, i in sorted(pairs):
+            n = int(self.size[i])
             if n >= WORDS:
                 own = s[at_s[doc] + first : at_s[doc] + first + n - WORDS + 1].tolist()
             else:
@@ -175,12 +224,14 @@ class Index:
             both = sum(min(c, item[x]) for x, c in Counter(own).items() if x in item)
             alike = both / (2 * len(own) - both)
             if alike >= SIMILARITY:
-                now = (alike, -first, n, int(np.bitwise_count(prints[w] ^ self.prints[i])))
+                now = (alike, -first, n)
                 key = (doc, i)
-                if key not in best or now[:2] > best[key][:2]:
+                if key not in best or now > best[key]:
                     best[key] = now
         out: dict[int, list[tuple]] = {}
-        for (doc, i), (alike, first, n, away) in sorted(best.items()):
+        for (doc, i), (alike, first, n) in sorted(best.items()):
+            at = bounds[doc] - first
+            away = int(np.bitwise_count(_pack(_running(h[at : at + n])[-1:])[0] ^ self.prints[i]))
             out.setdefault(doc, []).append((self.ids[i], -first, n, alike, away))
         return out
 

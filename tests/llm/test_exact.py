@@ -105,6 +105,30 @@ def test_contaminated_like_brute_force(spark, data, docs):
     assert got == want and len(want) > 20
 
 
+def test_replaced_runs_in_long_items_are_found():
+    """A run of other words moves the fingerprint of a long item beyond the radius, but not its similarity below the bound."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    far = 0
+    for n, k in [(53, 3), (60, 4), (102, 10), (300, 35)] * 60:
+        item = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        at = int(rng.integers(0, n - k + 1))
+        edited = item[:at] + [f"v{x}" for x in rng.integers(0, 5000, k)] + item[at + k :]
+        a, b = Counter(shingles(item)), Counter(shingles(edited))
+        alike = sum((a & b).values()) / sum((a | b).values())
+        if alike < 0.75:
+            continue
+        index = decontaminate.Index([(7, " ".join(item)), (8, " ".join(item[::-1]))])
+        text = " ".join(["before it"] + edited + ["after it all"])
+        h, bounds = _text.tokens(*_text.buffers(pa.array([text])), wordy=True)
+        s, at_s = _text.grams(h, bounds, 5, short=False)
+        (found,) = index.search(h, bounds, s, at_s)[0]
+        assert found[0] == 7 and found[3] >= alike - 1e-9
+        far += found[4] > decontaminate.RADIUS
+    assert far
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(1)
     index = decontaminate.Index([(i, " ".join(f"w{rng.integers(40)}" for _ in range(20))) for i in range(200)])
