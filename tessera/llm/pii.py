@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -71,14 +72,30 @@ _NAME = rf"{_CAP}{_LOW}+(?:-{_CAP}{_LOW}+)*"
 EMAIL = re.compile(r"(?<![\w.+-])(?:[^\W_]|[_.+%-](?=[\w@.+%-]))+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w])")
 NUMBERS = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:.]*:[0-9A-Fa-f.]*:)[0-9A-Fa-f:]{2,39}(?:(?<=:)[0-9]{1,3}(?:\.[0-9]{1,3}){3})?(?![\w:]|\.[0-9]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)"
-    r"|(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5}(?![0-9]|\.[0-9]{1,3}\.[0-9])){1,5}(?!\w)|(?<![\w+])\+[0-9]{7,15}(?!\w)|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
+    r"|(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,9}(?![0-9]|\.[0-9]{1,3}\.[0-9])){1,5}(?!\w)|(?<![\w+])\+[0-9]{7,15}(?!\w)|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
+    # with a trunk 0: 06 12 34 56 78, 0171 2345678, (030) 123456; Spanish: 612 345 678, 91 123 45 67
+    r"|(?P<national>(?<![\w.,/+-])0[1-9](?:(?P<gap>[ .-])[0-9]{2})(?:(?P=gap)[0-9]{2}){3}(?![\w/-]|[.,][0-9])"
+    r"|(?<![\w.,/+-])(?:\(0[1-9][0-9]{1,4}\)[ ]?|0[1-9][0-9]{1,4}(?:[ ]?[/-][ ]?|[ ]))[0-9]{3,8}(?:[ -][0-9]{2,6}){0,3}(?![\w/-]|[.,][0-9])"
+    r"|(?<![\w.,/+-])0[1-9][0-9]{8,9}(?![\w/-]|[.,][0-9])"
+    r"|(?<![\w.,/+-])[6789][0-9]{2}(?P<space>[ .-])[0-9]{3}(?P=space)(?!000)[0-9]{3}(?![\w/-]|[ .,-][0-9])"
+    r"|(?<![\w.,/+-])(?:[6789][0-9]{2}(?:[ ][0-9]{2}){3}|[89][0-9][ ][0-9]{3}(?:[ ][0-9]{2}){2})(?![\w/-]|[ .,-][0-9]))"
     r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
 )
 PERSON = re.compile(rf"\b(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ ](?P<name>{_NAME}(?:[ ](?:{_NAME}|(?:von|van|de|del|la)(?=[ ]{_CAP})))*)")
-_DIGIT_OR_AT = re.compile("[0-9@]").search
+#: A listed given name, further names, a listed surname: a person without a title.
+UNTITLED = re.compile(
+    "|".join(
+        rf"\b(?:{'|'.join(sorted({n for (s, _), v in GIVEN.items() if s == script for n in v}))})(?:-{_NAME})?(?:[ ](?:{_NAME}|{_CAP}\.|von|van|de|del|la)){{0,3}}?[ ](?:{'|'.join(SURNAMES[script])})\b"
+        for script in SURNAMES
+    )
+)
+#: Length of an IBAN by country.
+IBAN = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI NL", 19: "SI MK", 20: "AT BA EE LT LU XK", 21: "CH HR LI LV", 22: "BG DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY HU LB PL", 29: "BR UA", 31: "MT"}.items() for c in cs.split()}
+_DIGIT_OR_AT = re.compile("[0-9@]|[A-Fa-f:]::|::[A-Fa-f]|[A-Fa-f]:[A-Fa-f]").search
 _TITLE = re.compile("|".join(rf"{t}\b" for t in sorted(TITLES, key=len, reverse=True))).search
 
 
@@ -154,6 +171,8 @@ class Surrogates:
 
     def _ip(self, value: str) -> str:
         """Addresses of one kind (private, loopback, link-local, multicast, public) stay of that kind."""
+        if ":" in value:
+            return self._ip6(value)
         x = 0
         for part in value.split("."):
             x = x << 8 | int(part)
@@ -172,6 +191,23 @@ class Surrogates:
                 return value
         return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
 
+    def _ip6(self, value: str) -> str:
+        """The first group, which tells the kind of an address, and zero groups but the last stay."""
+        number = int(ipaddress.IPv6Address(value))
+        groups = [number >> 16 * (7 - i) & 0xFFFF for i in range(8)]
+        free = [i for i in range(1, 7) if groups[i]]
+        shape = "".join("x" if i in free or i == 7 else f":{g:x}" for i, g in enumerate(groups))
+        x = 0
+        for i in free:
+            x = x * 0xFFFF + groups[i] - 1
+        y = self.permute(x << 16 | groups[7], 0xFFFF ** len(free) << 16, f"ip6|{shape}")
+        y, groups[7] = y >> 16, y & 0xFFFF
+        for i in reversed(free):
+            y, d = divmod(y, 0xFFFF)
+            groups[i] = d + 1
+        new = ipaddress.IPv6Address(":".join(f"{g:x}" for g in groups)).compressed
+        return new.upper() if value.isupper() else new
+
     def _digits(self, value: str, kind: str, keep: int, check: Callable[[str], int] | None = None) -> str:
         digits = "".join(c for c in value if c.isdigit())
         head, body = digits[:keep], digits[keep:]
@@ -189,7 +225,8 @@ class Surrogates:
         return self._digits(value, "card", 1, luhn)
 
     def _phone(self, value: str) -> str:
-        keep = 0
+        # a trunk 0, and the first digit of a Spanish number, show that it is a national one
+        keep = int(value.lstrip("(")[0] == "0" or sum(c.isdigit() for c in value) == 9)
         if value.startswith("+"):
             keep = len(re.match(r"\+([0-9]{1,3})(?=[ .(-])|\+([0-9]{1,2})", value)[0]) - 1
         return self._digits(value, "phone", keep)
@@ -211,10 +248,11 @@ class Surrogates:
     def name_part(self, word: str, role: str) -> str:
         """``role`` is a gender for a given name, or ``s`` for a surname; lists map onto themselves."""
         script = script_of(word)
-        lists = [SURNAMES.get(script, [])] if role == "s" else [GIVEN[script, g] for g in (role, "f", "m", "n") if (script, g) in GIVEN]
-        for names in lists:
+        # a listed given name's surrogate follows its list, not the title before it
+        lists = [("s", SURNAMES.get(script, []))] if role == "s" else [(g, GIVEN[script, g]) for g in (role, "f", "m", "n") if (script, g) in GIVEN]
+        for kind, names in lists:
             if word in names:
-                return names[self.permute(names.index(word), len(names), f"name|{role}|{script}")]
+                return names[self.permute(names.index(word), len(names), f"name|{kind}|{script}")]
         new = word
         listed = _listed(script)
         for _ in range(64):  # the collision check: never land on a listed name
@@ -248,6 +286,41 @@ def _listed(script: str) -> frozenset[str]:
     return frozenset(SURNAMES.get(script, [])).union(*(v for (s, _), v in GIVEN.items() if s == script))
 
 
+def _gender(word: str) -> str:
+    """The gender of the list that a given name is on."""
+    return next((g for (_, g), names in GIVEN.items() if word in names), "n")
+
+
+def _is_given(word: str) -> bool:
+    """Whether a word is listed as a given name and not as a surname."""
+    return word not in SURNAMES[script_of(word)] and any(word in names for names in GIVEN.values())
+
+
+def _ip6(value: str) -> ipaddress.IPv6Address | None:
+    """An address of two groups at least, one of three digits or more: not a slice, a time or a scope in code."""
+    groups = [g for g in re.split("[:.]", value) if g]
+    try:
+        return ipaddress.IPv6Address(value) if len(groups) > 1 and max(map(len, groups)) > 2 else None
+    except ValueError:
+        return None
+
+
+def _iban_end(shape: str, text: str, start: int) -> int:
+    """Where the IBAN that ``shape`` begins with ends in ``text``; 0 for none.
+
+    Of a country's length it is one whether its check number is right or wrong;
+    of another length only if that is right.
+    """
+    places = [i for i, c in enumerate(shape) if c != " "]
+    size = IBAN.get(shape[:2])
+    if size and size <= len(places):
+        stop = start + places[size - 1] + 1
+        if not text[stop : stop + 1].isalnum():
+            return stop
+    plain = shape.replace(" ", "")
+    return start + len(shape) if iban_check(plain) == int(plain[2:4]) else 0
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, stop, kind, role) of all entities, in order, without overlaps.  Places are code points."""
     found: list[tuple[int, int, str, str]] = []
@@ -255,32 +328,53 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if "@" in text:
             found += [(m.start(), m.end(), "email", "") for m in EMAIL.finditer(text)]
         taken = [(a, b) for a, b, _, _ in found]
-        for m in NUMBERS.finditer(text):
-            kind = m.lastgroup
+        at = 0
+        while m := NUMBERS.search(text, at):
+            kind, start, stop = m.lastgroup, m.start(), m.end()
+            at = stop
             digits = sum(c.isdigit() for c in m[0])
-            if kind == "phone" and not 7 <= digits <= 15:
-                continue
-            if kind == "iban" and iban_check(m[0].replace(" ", "")) != int(m[0][2:4]):
+            if kind == "iban":
+                stop = _iban_end(m[0], text, start)
+            elif kind == "ip6":
+                kind, stop = "ip", stop if _ip6(m[0]) is not None else 0
+            elif kind in ("phone", "national"):
+                kind, stop = "phone", stop if 7 <= digits <= 15 else 0
+            if not stop:
+                # not what it looks like: what its shape covers may hold others
+                at = start + (4 if kind == "iban" else 1)
                 continue
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append((m.start(), m.end(), kind, ""))
-    if _TITLE(text):
+            at = stop
+            if not any(a < stop and start < b for a, b in taken):
+                found.append((start, stop, kind, ""))
+    titled, untitled = _TITLE(text), UNTITLED.search(text)
+    if titled or untitled:
         surnames: set[str] = set()
+        given: dict[str, str] = {}
         people: list[tuple[int, int, str, str]] = []
-        for m in PERSON.finditer(text):
-            words = [(w.start() + m.start("name"), w[0]) for w in re.finditer(r"[^\s-]+", m["name"])]
-            words = [(a, w) for a, w in words if w[0].isupper()]
-            gender = TITLES[m["title"]]
+        known: set[int] = set()
+        spans = [(m.start(), m[0], "") for m in UNTITLED.finditer(text)] if untitled else []
+        spans += [(m.start("name"), m["name"], TITLES[m["title"]]) for m in PERSON.finditer(text)] if titled else []
+        for start, name, gender in spans:
+            words = [(w.start() + start, w[0]) for w in re.finditer(r"[^\s-]+", name)]
+            words = [(a, w) for a, w in words if w[0].isupper() and not w.endswith(".")]
+            gender = gender or _gender(words[0][1])
+            # a title may stand before a given name alone
+            only = len(words) == 1 and _is_given(words[0][1])
             for k, (a, w) in enumerate(words):
-                last = k == len(words) - 1
+                last = k == len(words) - 1 and not only
+                if a in known:
+                    continue
+                known.add(a)
                 people.append((a, a + len(w), "name", "s" if last else gender))
                 if last:
                     surnames.add(w)
-        if surnames:
-            # the same surname elsewhere in the text is the same person's
-            known = {a for a, *_ in people}
-            again = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))})\b")
-            people += [(m.start(), m.end(), "name", "s") for m in again.finditer(text) if m.start() not in known]
+                else:
+                    given.setdefault(w, gender)
+        if surnames or given:
+            # the same surname or given name elsewhere in the text is the same person's
+            roles = given | dict.fromkeys(surnames, "s")
+            again = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(roles, key=len, reverse=True)))})\b")
+            people += [(m.start(), m.end(), "name", roles[m[0]]) for m in again.finditer(text) if m.start() not in known]
         found += [p for p in people if not any(a < p[1] and p[0] < b for a, b, _, _ in found)]
     return sorted(found)
 

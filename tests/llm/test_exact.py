@@ -431,6 +431,31 @@ def test_coreference_and_gender():
     assert pii.replace("no entities 12 here", s) == ("no entities 12 here", []) and pii.replace(None, s) == (None, [])
 
 
+def test_people_without_titles_and_given_names_again():
+    s = pii.Surrogates(b"key")
+    text, spans = pii.replace("Anna Weber came. Frau Clara Schmidt saw Anna, and Clara left. Dr. Anna Q. Weber too; Peter did not.", s)
+    names = [text[a:b] for a, b, k in spans if k == "name"]
+    assert len(names) == 8 and names[0] == names[4] == names[6] and names[1] == names[7] and names[2] == names[5]
+    assert not re.search("Anna|Weber|Clara|Schmidt", text.replace(names[0], "").replace(names[2], "").replace(names[1], "").replace(names[3], "")) and "Peter did" in text
+    assert names[0] in pii.GIVEN["latin", "f"] and names[0] != "Anna" and names[2] != "Clara"
+
+
+def test_national_phones_ipv6_and_wrong_ibans():
+    s = pii.Surrogates(b"key")
+    for kind, value in [
+        ("phone", "0171 2345678"), ("phone", "+49 171 2345678"), ("phone", "0171/2345678"), ("phone", "(030) 123456"), ("phone", "030 123 456 78"), ("phone", "01712345678"), ("phone", "06 12 34 56 78"), ("phone", "06.12.34.56.78"), ("phone", "612 345 678"), ("phone", "91 123 45 67"), ("phone", "612 34 56 78"),
+        ("ip", "2001:db8::8a2e:370:7334"), ("ip", "fe80::1"), ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ip", "::ffff:10.1.2.3"), ("iban", "GB82 WEST 1234 5698 7654 33"), ("iban", "DE89370400440532013001"),
+    ]:
+        text, spans = pii.replace(f"It is {value}, said he.", s)
+        assert [k for _, _, k in spans] == [kind] and value not in text, (value, text)
+        a, b, _ = spans[0]
+        assert text[:a] == "It is " and text[b:] == ", said he." and (kind == "ip" or re.sub(r"\w", "", text[a:b]) == re.sub(r"\w", "", value))
+    # what an unknown shape covers is searched
+    assert [k for _, _, k in pii.replace("XX12 4111 1111 1111 1111", s)[1]] == ["card"]
+    for clean in ("at 12:30:45 or std::vector and a::b", "the year 2001 and 0.12 or 1,234 567", "ratio 3:4:5", "pages 612-700", "x[::1]", "950 000 000 years"):
+        assert pii.detect(clean) == [], clean
+
+
 def test_documents_lose_their_pii(spark, data, docs):
     got = {r.doc_id: r for r in QUERIES["op1_pii_surrogates"](spark, data).collect()}
     patterns = [r"\S+@\S+\.\w+", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<!\d)\d{1,3}(?:\.\d{1,3}){3}(?!\d)", r"(?<!\d)\d{16}(?!\d)"]
