@@ -2,18 +2,20 @@
 
 A page is cut into blocks at block-level tags.  Pass one gives each block a
 class from its length, its share of stop words and its share of link text:
-good, bad, or short (undecided).  Pass two lets an undecided block take the
-class of its nearest decided neighbours.  What the markup itself says comes
-first: blocks in menus, headers, footers, sidebars, forms, notices, adverts or
-comment lists are bad; in an ``article`` or ``main`` element only link density
-can make a block bad, and an undecided one defaults to good.
+good, bad, or undecided (short, or text-like but poor in stop words).  Pass two
+lets an undecided block take the class of its nearest decided neighbours.
+
+Markup is evidence beside that: blocks in menus, headers, footers, sidebars,
+forms, notices, adverts or comment lists are bad; in an ``article`` or ``main``
+element a block needs fewer signs of text, and outside of one more.  Pages
+without such an element are judged by the block rules alone.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import _text
+from tessera.llm._io import fresh
 
 #: Frequent function words of the supported languages.
 STOP_WORDS = frozenset(
@@ -62,20 +65,56 @@ _NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))""", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
+#: The end of a sentence somewhere in a block.
+_SENTENCE = re.compile(r"[.!?…。！？][\"'»”)]*(?:\s|$)")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 
 @dataclass
 class Block:
-    text: list[str] = field(default_factory=list)
+    text: str = ""
     linked: int = 0
+    #: In an element that holds furniture; under a class, id or role that says so; in an article or main element; a heading.
     furniture: bool = False
+    marked: bool = False
     article: bool = False
     heading: bool = False
     kind: str = ""
     final: str = ""
 
 
+class _Open:
+    """The open elements, with the places of each name, so that no step walks the stack."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, bool, bool, bool]] = []  # name; furniture, mark, article here or above
+        self.places: dict[str, list[int]] = {}
+
+    def _names(self, name: str) -> tuple[str, ...]:
+        return (name, "#block") if name in BLOCKS and name != "p" else (name,)
+
+    def push(self, name: str, furniture: bool, marked: bool, article: bool) -> None:
+        for n in self._names(name):
+            self.places.setdefault(n, []).append(len(self.items))
+        self.items.append((name, furniture, marked, article))
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names, -1 for none."""
+        return max((found[-1] for n in names if (found := self.places.get(n))), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.items) > place:
+            for n in self._names(self.items.pop()[0]):
+                self.places[n].pop()
+
+    def context(self) -> tuple[bool, bool, bool]:
+        return self.items[-1][1:] if self.items else (False, False, False)
+
+    def heading(self) -> bool:
+        return any(item[0] in HEADINGS for item in self.items[-4:])
+
+
 def _marked(attributes: str) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
@@ -89,29 +128,41 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+#: Names that end an open element of theirs or of a twin, and where the search for one stops.
+_TWINS = {"li": ("li",), "tr": ("tr",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
+_LISTS = ("ul", "ol", "dl", "table", "menu", "dir")
+_HOLD = ("article", "main", "nav", "aside", "body", "table")
+_RAW_END = {name: re.compile(f"</{name}(?![A-Za-z0-9:-])[^>]*(?:>|\\Z)", re.I) for name in RAW}
+
+
 def blocks(html: str) -> list[Block]:
-    """The page's text blocks in order, with what the open elements say about each."""
+    """The page's text blocks in order, with what the open elements say about each.  Time grows with the page's length."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture here or above, article here or above
+    stack = _Open()
+    unclosed: set[str] = set()  # raw elements whose end tag isn't in the rest of the page
+    parts: list[str] = []
     current = Block()
+    empty = True
     links = 0
 
     def close() -> None:
-        nonlocal current
-        text = " ".join(unescape("".join(current.text)).split())
-        if text:
-            current.text = [text]
-            out.append(current)
-        current = Block()
-
-    def context() -> tuple[bool, bool]:
-        return stack[-1][1:] if stack else (False, False)
+        nonlocal current, parts, empty
+        if not empty:
+            current.text = " ".join(unescape("".join(parts)).split())
+            if current.text:
+                out.append(current)
+        current, parts, empty = Block(), [], True
 
     def add(raw: str) -> None:
-        if not current.text or not "".join(current.text).strip():
-            current.furniture, current.article = context()
-            current.heading = any(n in HEADINGS for n, _, _ in stack[-4:])
-        current.text.append(raw)
+        nonlocal empty
+        if empty:
+            if raw.isspace():
+                parts[:] = [" "]
+                return
+            current.furniture, current.marked, current.article = stack.context()
+            current.heading = stack.heading()
+            empty = False
+        parts.append(raw)
         if links:
             current.linked += len(" ".join(unescape(raw).split()))
 
@@ -138,97 +189,118 @@ def blocks(html: str) -> list[Block]:
                 links = max(0, links - 1)
             if name in BLOCKS:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "nav", "aside", "body", "table") and name not in BLOCKS:
-                    break  # a stray inline end tag closes nothing beyond
+            place = stack.last(name)
+            # a stray inline end tag closes nothing beyond the element that holds it
+            if place >= 0 and (name in BLOCKS or name in _HOLD or place > stack.last(*_HOLD)):
+                stack.cut(place)
             continue
         if name in RAW and not m[3].endswith("/"):
-            end = re.compile(f"</{re.escape(name)}(?![A-Za-z0-9:-])[^>]*(?:>|\\Z)", re.I).search(html, at)
             if name == "head":
                 # its own elements are dropped below; text starts where body or any block does
-                stack.append((name, True, False))
+                stack.push(name, True, False, False)
                 continue
+            end = None if name in unclosed else _RAW_END[name].search(html, at)
+            if end is None:
+                unclosed.add(name)
             at = end.end() if end else (n if name in ("script", "style", "template", "noscript") else at)
             continue
-        if name == "body" or (name in BLOCKS and any(s[0] == "head" for s in stack)):
-            close()
-            stack = [s for s in stack if s[0] != "head"]
+        if name == "body" or name in BLOCKS:
+            head = stack.last("head")
+            if name == "body" or head >= 0:
+                close()
+            if head >= 0:
+                stack.cut(head)
         if name == "br":
             add(" ")
             continue
         if name in BLOCKS:
             close()
             if name in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            elif name in ("li", "dd", "dt", "tr", "td", "th"):
-                twins = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in twins:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "menu", "dir"):
-                        break
+                place = stack.last("p")
+                if place > stack.last("#block"):
+                    stack.cut(place)
+            elif name in _TWINS:
+                place = stack.last(*_TWINS[name])
+                if place > stack.last(*_LISTS):
+                    stack.cut(place)
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         if name == "a":
-            links += 1
-        furniture, article = context()
-        in_article = article or name in ("article", "main")
+            links = links + 1 if stack.last("a") >= 0 else 1
+        furniture, marked, article = stack.context()
         # a header inside an article is the article's own; a heading there is text
         own = name in FURNITURE and not (name == "header" and article)
-        stack.append((name, furniture or own or (name not in ("html", "body", "article", "main") and _marked(m[3])), in_article))
-        if name == "a" and not any(s[0] == "a" for s in stack[:-1]):
-            links = 1
+        marked = marked or (name not in ("html", "body", "article", "main") and _marked(m[3]))
+        stack.push(name, furniture or own, marked, article or name in ("article", "main"))
     close()
     return out
 
 
+def _first_pass(b: Block) -> str:
+    """A block's class by length, stop words and links: good, bad, near (text-like, but short or poor in stop words) or short.
+
+    An article or main element is evidence for text: fewer signs are asked for there.
+    """
+    text = b.text
+    density = b.linked / len(text)
+    if density > LINK_HIGH and not (b.article and b.heading):
+        return "bad"
+    if "\xa9" in text and len(text) < LENGTH_HIGH and not b.article:
+        return "bad"
+    if len(text) < LENGTH_LOW:
+        return "bad" if b.linked and not b.article else "short"
+    words = _WORD.findall(text.lower())
+    stops = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
+    if stops >= STOP_HIGH:
+        return "good" if len(text) > LENGTH_HIGH or b.article else "near"
+    if stops >= STOP_LOW:
+        return "near"
+    # long, with few stop words: a list of names, or a text of another kind
+    return "short" if b.article or (not b.linked and _SENTENCE.search(text)) else "bad"
+
+
 def classify(found: list[Block]) -> None:
-    """Pass one, then pass two: every block's ``final`` becomes good or bad."""
+    """Pass one, then pass two: every block's ``final`` becomes good or bad.
+
+    Furniture is bad and says nothing about its neighbours.  Pass two gives an
+    undecided block the class of its nearest decided neighbour, of blocks in
+    articles for one in an article and of the others for the others; where
+    both sides are as near, text-like blocks and headings before text are
+    good.  With nothing decided near it, a block is good unless the page has
+    an article that it is not in.
+    """
+    free = [b for b in found if not b.furniture]
+    # marks that leave no text at all are those of the page's layout
+    if any(not b.marked for b in free):
+        free = [b for b in free if not b.marked]
     for b in found:
-        text = b.text[0]
-        density = b.linked / len(text)
-        stops = 0.0
-        if not b.furniture and len(text) >= LENGTH_LOW and density <= LINK_HIGH:
-            words = _WORD.findall(text.lower())
-            stops = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
-        if b.furniture:
-            b.kind = "bad"
-        elif density > LINK_HIGH and not (b.article and b.heading):
-            b.kind = "bad"
-        elif "\xa9" in text and len(text) < LENGTH_HIGH and not b.article:
-            b.kind = "bad"
-        elif len(text) < LENGTH_LOW:
-            b.kind = "bad" if b.linked and not b.article else "short"
-        elif stops >= STOP_HIGH:
-            b.kind = "good" if len(text) > LENGTH_HIGH or b.article else "near"
-        elif stops >= STOP_LOW:
-            b.kind = "near"
-        else:
-            b.kind = "short" if b.article else "bad"
-    decided = [b.kind if b.kind in ("good", "bad") else "" for b in found]
-    for i, b in enumerate(found):
-        if decided[i]:
-            b.final = decided[i]
-            continue
-        # neighbours outside an article say nothing about a block inside it
-        same = (lambda o: o.article and not o.furniture) if b.article else (lambda o: True)
-        left = next((decided[j] for j in range(i - 1, -1, -1) if decided[j] and same(found[j])), "")
-        right = next((decided[j] for j in range(i + 1, len(found)) if decided[j] and same(found[j])), "")
-        if b.article:
-            b.final = "bad" if left == right == "bad" else "good"
-        elif b.kind == "near":
-            b.final = "bad" if left == right == "bad" and len(found) > 1 and any(k == "good" for k in decided) else "good"
-        else:
-            b.final = "good" if left == right == "good" or (b.heading and right == "good") else "bad"
+        b.kind = b.final = "bad"
+    for b in free:
+        b.kind = _first_pass(b)
+    for inside in (True, False):
+        group = [b for b in free if b.article == inside]
+        default = "good" if inside or len(group) == len(free) else "bad"
+        left: list[tuple[str, int]] = []
+        seen = ("", 0)
+        for i, b in enumerate(group):
+            seen = (b.kind, i) if b.kind in ("good", "bad") else seen
+            left.append(seen)
+        seen = ("", len(group))
+        for i in range(len(group) - 1, -1, -1):
+            b = group[i]
+            if b.kind in ("good", "bad"):
+                b.final, seen = b.kind, (b.kind, i)
+                continue
+            (before, j), (after, k) = left[i], seen
+            if not before or not after or before == after:
+                b.final = before or after or default
+            elif inside or b.kind == "near" or (b.heading and after == "good"):
+                b.final = "good"
+            else:
+                b.final = before if i - j < k - i else after if k - i < i - j else "good"
+            # one bad neighbour alone says little about text in an article, or of text-like blocks
+            if b.final == "bad" and not (before and after) and (inside or (b.kind == "near" and default == "good")):
+                b.final = "good"
 
 
 def main_text(html: str | None) -> str:
@@ -237,27 +309,30 @@ def main_text(html: str | None) -> str:
         return ""
     found = blocks(html)
     classify(found)
-    return "\n".join(b.text[0] for b in found if b.final == "good")
+    return "\n".join(b.text for b in found if b.final == "good")
 
 
 def extract(df: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """Add ``out_col``, the main text of every page; the page itself is left out.
 
-    Null and empty pages and pages without an article give an empty text.
-    One row out for each row in; a column named ``out_col`` is replaced.
+    Null and empty pages and pages without text give an empty text.  One row
+    out for each row in, repeated rows included; a column named ``out_col`` is
+    replaced (upper or lower case), and all others are kept.
     """
-    names = [c for c in df.columns if c not in (html_col, out_col)]
-    df = df.select(*names, F.col(html_col).cast("string").alias("_html"))
+    gone = {html_col.lower(), out_col.lower()}
+    names = [c for c in df.columns if c.lower() not in gone]
+    page = fresh("_html", names)
+    df = df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{html_col}`").cast("string").alias(page))
 
     @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _text.slices(b, len(names))):
             done = [main_text(x) for x in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(done, pa.string())], names=[*names, out_col])
 
-    return df.mapInArrow(run, T.StructType([*df.select(*names).schema.fields, T.StructField(out_col, T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField(out_col, T.StringType())]))
 
 
 def pages_text(pages: DataFrame) -> DataFrame:
-    """The contract's rows for all pages."""
+    """The contract's rows for all pages: null pages count as empty, repeated rows give one row each."""
     return extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
