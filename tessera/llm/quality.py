@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import _text
+from tessera.llm._io import fresh
 
 BITS = 18
-#: Most labelled texts that a fit reads (and most bytes of text): the bound of its one task.
+#: Defaults of ``fit``'s bounds: most labelled texts, and most UTF-8 bytes of text, that its one task reads.
 FIT_ROWS, FIT_BYTES = 6000, 24 << 20
 THRESHOLD = 0.3
 #: Updates that a fit aims at.
@@ -87,22 +88,29 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, *, bits: in
 
 
 def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts' scores; each is summed by itself, so that equal texts score the same in any company."""
     slots, value, bounds = features(data, offsets, model.bits)
-    acc = np.concatenate([[0.0], np.cumsum(model.weights[slots] * value)])
-    return sigmoid(acc[bounds[1:]] - acc[bounds[:-1]] + model.bias)
+    total = np.zeros(len(bounds) - 1)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        total[some] = np.add.reduceat(model.weights[slots] * value, bounds[:-1][some])
+    return sigmoid(total + model.bias)
 
 
 def held_out(id_col: str) -> Column:
-    """True for the fifth of the rows that no fit reads."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """True for the fifth of the ids that no fit reads; false for null ids, which none reads either."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled texts that aren't held out, at most ``FIT_BYTES`` of them.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Model:
+    """Fit on at most ``rows`` labelled texts that aren't held out, of ``most_bytes`` UTF-8 bytes together.
 
-    Which rows is decided by a hash of the id, so it doesn't depend on order
-    or partitions.  Null ids, labels and texts are left out; where nothing is
-    labelled, the model says 0.5 for every text.
+    Rows are taken in the order of a hash of the id, so the choice and the
+    order of learning depend on neither order nor partitions; a text that
+    would go beyond ``most_bytes`` is passed over and the next one tried.  Null
+    ids, labels and texts are left out, and an id labelled twice takes its
+    greatest label; where nothing is labelled, the model says 0.5 for every
+    text.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
@@ -113,22 +121,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[int, str, int]] = []
+        kept: list[tuple[str, int]] = []
         used = 0
         for batch in batches:
-            for i, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if used + len(t) <= FIT_BYTES:
-                    used += len(t)
-                    kept.append((i, t, y))
-        if not kept or len({y > 0 for *_, y in kept}) < 2:
-            share = 0.5 if not kept else min(max(np.mean([y > 0 for *_, y in kept]), 0.01), 0.99)
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                size = len(t.encode())
+                if used + size <= most_bytes:
+                    used += size
+                    kept.append((t, y))
+        if not kept or len({y > 0 for _, y in kept}) < 2:
+            share = 0.5 if not kept else min(max(np.mean([y > 0 for _, y in kept]), 0.01), 0.99)
             model = Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
         else:
-            kept.sort(key=lambda row: (hash((row[0], 17)), row))
-            model = train(*_text.buffers(pa.array([t for _, t, _ in kept], pa.large_string())), np.array([y > 0 for *_, y in kept], float))
+            model = train(*_text.buffers(pa.array([t for t, _ in kept], pa.large_string())), np.array([y > 0 for _, y in kept], float))
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["w", "b"])
 
-    row = texts.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id").mapInArrow(run, "w binary, b double").first()
+    row = texts.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "_t").select("_t", "_y").mapInArrow(run, "w binary, b double").first()
     if row is None:  # nothing labelled, so no task had rows
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
     return Model(np.frombuffer(row.w, np.float32), row.b)
@@ -153,7 +161,11 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", score_col: str
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's rows: every document's held-out mark, score and prediction."""
+    """The contract's rows: every document's held-out mark, score and prediction.
+
+    Null and empty texts have the bias's score; equal texts score the same;
+    repeated rows give one row each; extra columns are left out.
+    """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     model = fit(docs, labels)
 
@@ -171,7 +183,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, whose score reaches ``threshold``; rejected rows go."""
     model = fit(docs, labels)
-    name = "_score"
-    while name in docs.columns:
-        name = f"_{name}"
+    name = fresh("_score", docs.columns)
     return score(docs, model, score_col=name).where(F.col(name) >= threshold).drop(name)
