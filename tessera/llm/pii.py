@@ -21,6 +21,7 @@ import hashlib
 import hmac
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -246,18 +247,21 @@ class Surrogates:
         return "".join(c if c == " " else next(new) for c in value)
 
     def name_part(self, word: str, role: str) -> str:
-        """``role`` is a gender for a given name, or ``s`` for a surname; lists map onto themselves."""
+        """The surrogate of one word of a name, the same in every ``role`` (a gender or ``s`` for a surname) and after every title.
+
+        A listed word maps within its list, and the lists share no word; other
+        words map among the words that no list has.  So no two words have one
+        surrogate.
+        """
         script = script_of(word)
-        # a listed given name's surrogate follows its list, not the title before it
-        lists = [("s", SURNAMES.get(script, []))] if role == "s" else [(g, GIVEN[script, g]) for g in (role, "f", "m", "n") if (script, g) in GIVEN]
-        for kind, names in lists:
+        for kind, names in _name_lists(script).items():
             if word in names:
                 return names[self.permute(names.index(word), len(names), f"name|{kind}|{script}")]
         new = word
         listed = _listed(script)
         for _ in range(64):  # the collision check: never land on a listed name
-            # the last letter of a given name often shows its gender: it stays
-            new = self.text(new, "s" if role == "s" else "g", frozenset() if role == "s" or len(new) < 3 else frozenset({len(new) - 1}))
+            # the last letter often shows a gender: it stays
+            new = self.text(new, "name", frozenset() if len(new) < 3 else frozenset({len(new) - 1}))
             if new not in listed and new != word:
                 break
         return new
@@ -281,6 +285,26 @@ def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
+@lru_cache(8)
+def _name_lists(script: str) -> dict[str, list[str]]:
+    """Lists of names without common words: those that are given names and surnames alike are a list of their own."""
+    surnames = SURNAMES.get(script, [])
+    given = {g: names for (s, g), names in GIVEN.items() if s == script}
+    both = sorted({n for names in given.values() for n in names if n in surnames})
+    lists = {"b": both, "s": [n for n in surnames if n not in both]}
+    seen = set(both)
+    for g, names in given.items():
+        lists[g] = [n for n in names if n not in seen]
+        seen.update(names)
+    return lists
+
+
+def _overlaps(spans: list[tuple], start: int, stop: int) -> bool:
+    """Whether any of ``spans``, which are in order and apart from one another, meets start .. stop."""
+    i = bisect_left(spans, (stop,))
+    return i > 0 and spans[i - 1][1] > start
+
+
 @lru_cache(8)
 def _listed(script: str) -> frozenset[str]:
     return frozenset(SURNAMES.get(script, [])).union(*(v for (s, _), v in GIVEN.items() if s == script))
@@ -344,7 +368,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 at = start + (4 if kind == "iban" else 1)
                 continue
             at = stop
-            if not any(a < stop and start < b for a, b in taken):
+            if not _overlaps(taken, start, stop):
                 found.append((start, stop, kind, ""))
     titled, untitled = _TITLE(text), UNTITLED.search(text)
     if titled or untitled:
@@ -375,7 +399,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             roles = given | dict.fromkeys(surnames, "s")
             again = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(roles, key=len, reverse=True)))})\b")
             people += [(m.start(), m.end(), "name", roles[m[0]]) for m in again.finditer(text) if m.start() not in known]
-        found += [p for p in people if not any(a < p[1] and p[0] < b for a, b, _, _ in found)]
+        found.sort()
+        found += [p for p in people if not _overlaps(found, p[0], p[1])]
     return sorted(found)
 
 
