@@ -4,13 +4,14 @@ Distinct pieces of an Arrow batch are grouped by byte length, padded into one
 matrix per group, and merged in rounds: in every round each row merges its
 leftmost pair of minimum rank.  Pair ranks come from an open-addressing hash
 table in two numpy arrays; rows that have no pair left are taken out of the
-matrix (compaction), as are the merged cells.
+matrix (compaction), as are the merged cells.  Long pieces are first cut where
+no token spans two bytes; a long row that is left merges, in a round, all pairs
+of its least rank.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from tessera.llm import _text
 
 NONE = np.int32(2**31 - 1)
-#: Pieces over this many bytes are merged with a heap: rounds over a matrix would be quadratic.
+#: Rows over this many bytes merge all pairs of their least rank in a round, not the leftmost alone: fewer rounds, same result.
 LONG = 2048
 #: Bytes of text that are encoded at once: more would find more pieces again, but take more memory.
 BLOCK = 3 << 19
@@ -33,6 +34,8 @@ BLOCK = 3 << 19
 BLANK_SPACE = regex.compile(r"\s ").search
 #: Marks that are a piece by themselves after a word.
 PLAIN = frozenset(".,;:?!")
+#: The pattern of which no match spans a single space after a visible character, or looks across one (fixed value).
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[tuple[str, str], "Vocabulary"] = {}
 
@@ -43,6 +46,8 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
+        #: Whether texts may be cut before spaces first; under any other pattern whole texts are split.
+        self.spaced = pattern == SPACED
         size = max(ranks.values(), default=-1) + 1
         self.byte = np.full(256, -1, np.int32)
         for token, rank in ranks.items():
@@ -59,6 +64,15 @@ class Vocabulary:
                         left.append(a)
                         right.append(b)
                         out.append(rank)
+        #: Tokens that are part of a join which ranks before them.
+        self.early = np.zeros(size, bool)
+        for parts in (left, right):
+            parts, joins = np.array(parts, np.int64), np.array(out, np.int64)
+            self.early[parts[joins < parts]] = True
+        self.neighbours = np.zeros((256, 256), bool)
+        for token in ranks:
+            data = np.frombuffer(token, np.uint8)
+            self.neighbours[data[:-1], data[1:]] = True
         self._table(np.array(left, np.int64), np.array(right, np.int64), np.array(out, np.int32))
         lengths = np.zeros(size + 1, np.int64)
         for token, rank in ranks.items():
@@ -147,56 +161,68 @@ class Vocabulary:
             i, j = every[before], best[before]
             rank[i, j - 1] = self.pair_ranks(ids[i, j - 1], ids[i, j])
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """Same result for one long piece, in O(n log n) with a heap over a linked list."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pair_ranks(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32))
-        heap = [(int(r), i) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        now = {i: r for r, i in heap}
-        known: dict[tuple[int, int], int] = {}
-
-        def pair(i: int, j: int) -> None:
-            key = (ids[i], ids[j])
-            r = known.get(key)
-            if r is None:
-                r = known[key] = int(self.pair_ranks(np.array([key[0]], np.int32), np.array([key[1]], np.int32))[0])
-            if r != NONE:
-                now[i] = r
-                heapq.heappush(heap, (r, i))
-            else:
-                now.pop(i, None)
+    def merge_wide(self, piece: bytes) -> np.ndarray:
+        """The same for one long row, of which a round merges every pair of the least rank, from the left and without overlaps.
 
-        while heap:
-            r, i = heapq.heappop(heap)
-            if now.get(i) != r:
-                continue
-            j = nxt[i]
-            ids[i], ids[j] = r, -1
-            now.pop(j, None)
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prev[nxt[i]] = i
-                pair(i, nxt[i])
-            else:
-                now.pop(i, None)
-            if prev[i] >= 0:
-                pair(prev[i], i)
-        return np.array([x for x in ids if x >= 0], np.int32)
+        Where nothing that a merge makes (the new token joined with the tokens
+        beside it or itself) ranks before the merge, one round does what leftmost
+        merges do in many.  Otherwise, which takes an ``early`` token, a round
+        merges the leftmost pair only.
+        """
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        rank = self.pair_ranks(ids[:-1], ids[1:])
+        while len(rank) and (low := rank.min()) != NONE:
+            at = np.flatnonzero(rank == low)
+            if self.early[low]:
+                after, before = ids[at[at + 2 < len(ids)] + 2], ids[at[at > 0] - 1]
+                new = np.full(len(after) + len(before) + 1, low, np.int32)
+                made = self.pair_ranks(np.concatenate([new[: len(after) + 1], before]), np.concatenate([after, new[len(after) :]]))
+                if made.min() < low:
+                    at = at[:1]
+            # of a run of overlapping pairs every other one, the first included
+            place = np.arange(len(at))
+            first = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
+            ids[at] = low
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            new = np.cumsum(keep)[at] - 1  # where the merged ones are now
+            ids = ids[keep]
+            # a pair goes with its left cell; the merged cells' pairs, and those before them, are looked up
+            rank = rank[keep[:-1]][: len(ids) - 1]
+            for left in (new, new - 1):
+                left = left[(left >= 0) & (left < len(ids) - 1)]
+                rank[left] = self.pair_ranks(ids[left], ids[left + 1])
+        return ids
+
+    def cut(self, piece: bytes) -> list[bytes]:
+        """The piece cut between bytes that are neighbours in no token: no merge spans such a cut."""
+        data = np.frombuffer(piece, np.uint8)
+        at = np.flatnonzero(~self.neighbours[data[:-1], data[1:]]) + 1
+        edges = [0, *at.tolist(), len(piece)]
+        return [piece[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and bounds for distinct pieces, merged by groups of like length."""
-        raw = [p.encode("utf-8") for p in pieces]
+        """Flat ids and bounds for distinct pieces; what is no token by itself is merged by groups of like length."""
+        whole_pieces = [p.encode("utf-8") for p in pieces]
+        raw: list[bytes] = []
+        parts_of = np.ones(len(pieces), np.int64)
+        for i, piece in enumerate(whole_pieces):
+            if len(piece) > LONG and piece not in self.ranks:
+                parts = self.cut(piece)
+                parts_of[i] = len(parts)
+                raw += parts
+            else:
+                raw.append(piece)
         length = np.fromiter(map(len, raw), np.int64, len(raw))
         whole = np.fromiter(map(self.ranks.get, raw, repeat(-1)), np.int32, len(raw))
         sizes = (whole >= 0).astype(np.int64)
         left = whole < 0
         solved: list[tuple[np.ndarray, np.ndarray]] = []
-        long = {int(i): self.merge_long(raw[i]) for i in np.flatnonzero(left & (length > LONG))}
-        for i, ids in long.items():
+        for i in np.flatnonzero(left & (length > LONG)):
+            ids = self.merge_wide(raw[i])
             sizes[i] = len(ids)
+            solved.append((np.array([i]), ids[None, :]))
         bits = np.ceil(np.log2(np.maximum(length, 1))).astype(np.int64)
         group = np.where(length <= 16, length, 16 + bits * 4 + ((length - 1) >> np.maximum(bits - 3, 0) & 3))
         group[~left | (length > LONG)] = -1
@@ -211,13 +237,12 @@ class Vocabulary:
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         flat = np.empty(int(bounds[-1]), np.int32)
         flat[bounds[:-1][~left]] = whole[~left]
-        for i, ids in long.items():
-            flat[bounds[i] : bounds[i + 1]] = ids
         for part, ids in solved:
             n = sizes[part]
             ends = np.cumsum(n)
             flat[np.arange(int(ends[-1])) + np.repeat(bounds[part] - (ends - n), n)] = ids[np.arange(ids.shape[1]) < n[:, None]]
-        return flat, bounds
+        # parts of one piece lie side by side
+        return flat, bounds[np.concatenate([[0], np.cumsum(parts_of)])]
 
     def units(self, text: str) -> list[str]:
         """The text cut before each single space that follows a visible character.
@@ -239,7 +264,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts (null: empty) and the bounds of each."""
-        lists = [self.units(t) if t else [] for t in texts]
+        lists = [(self.units(t) if self.spaced else [t]) if t else [] for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         unit_bounds = np.concatenate([[0], np.cumsum(counts)])
         flat = np.fromiter(chain.from_iterable(lists), dtype=object, count=int(unit_bounds[-1]))
@@ -327,7 +352,11 @@ def decode(df: DataFrame, vocab_path: str, pattern: str, *, ids_col: str = "ids"
 
 
 def digests(df: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
-    """The contract's rows: counts and digests of what ``encode`` and ``decode`` give."""
+    """The contract's rows: counts and digests of what ``encode`` and ``decode`` give.
+
+    Null and empty texts have no ids and the digest of nothing; equal texts
+    have equal rows, repeated rows one each; extra columns are left out.
+    """
     return decode(encode(df, vocab_path, pattern), vocab_path, pattern).select(
         "doc_id",
         "n_tokens",
