@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._order import boundaries, range_of
+from tessera.llm._order import boundaries, with_range
 
 SAMPLES = 32
 WORDS = 5
@@ -88,30 +88,36 @@ def as_text(sig: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with ``_next``, the text of the next row by id; after the last comes the first.
 
-    Ids are cut into ranges at sampled quantiles; the range is the only
-    shuffle key, and a range's first rows also go, as ghosts, to the range
-    before.  So no task sees more than its ranges.  Null ids come first; equal
-    ids are ordered by text.  Ghosts stay in the result (``_ghost``).
+    Rows are cut into ranges of (id, hash of the text) at sampled bounds, as
+    many as the bytes of text ask for; the range is the only shuffle key, and
+    a range's first row also goes, as a ghost, to the range before.  So no
+    task sees more than its ranges, also where many texts share an id.  Null
+    ids come first; rows of equal ids are ordered by that hash, then by text,
+    and rows that are equal in both stay in one range.  Ghosts stay in the
+    result (``_ghost``).
     """
     spark = df.sparkSession
     df = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    bounds = boundaries(df, F.col("_key"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if not bounds:
-        bounds = [0]
-    df = df.withColumn("_b", range_of(F.col("_key"), bounds))
-    is_bound = F.array_contains(F.expr("array(" + ",".join(f"{b}L" if b > -(2**63) else "(-9223372036854775807L - 1L)" for b in bounds) + ")"), F.col("_key"))
+    df = df.withColumn("_tie", F.xxhash64("_text"))
+    bounds = boundaries(df, "_key", "_tie", "_text", 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))) or [(0, 0)]
+    df = with_range(df, "_key", "_tie", bounds, "_b", "_bound")
     first = F.col("_b") == 1
     before = F.when(first, F.lit(len(bounds))).otherwise(F.col("_b") - 1)
     own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("wrap"), F.lit(False).alias("ghost"))
     ghost = F.struct(before.alias("b"), first.cast("int").alias("wrap"), F.lit(True).alias("ghost"))
-    df = df.withColumn("_to", F.explode(F.when(is_bound, F.array(own, ghost)).otherwise(F.array(own))))
-    df = df.select("_id", "_key", "_text", F.col("_to.b").alias("_b"), F.col("_to.wrap").alias("_wrap"), F.col("_to.ghost").alias("_ghost"))
-    by = Window.partitionBy("_b").orderBy("_wrap", "_key", "_text")
+    df = df.withColumn("_to", F.explode(F.when(F.col("_bound"), F.array(own, ghost)).otherwise(F.array(own))))
+    df = df.select("_id", "_key", "_tie", "_text", F.col("_to.b").alias("_b"), F.col("_to.wrap").alias("_wrap"), F.col("_to.ghost").alias("_ghost"))
+    by = Window.partitionBy("_b").orderBy("_wrap", "_key", "_tie", "_text")
     return df.select("_id", "_b", "_ghost", "_text", F.row_number().over(by).alias("_rn"), F.lead("_text").over(by).alias("_next"))
 
 
 def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """The contract's rows: each document's fingerprint, its edited text's, and the likenesses."""
+    """The contract's rows: each document's fingerprint, its edited text's, and the likenesses.
+
+    Null texts count as empty; two texts without terms are alike (1), one with
+    and one without are not (0); a single document is its own next one;
+    repeated rows give one row each, and extra columns are left out.
+    """
     df = with_next(docs, "doc_id", "text")
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")
