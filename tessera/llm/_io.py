@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -16,11 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.tessera.scratch", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a session that runs in one
+    process; on a cluster no other node would see it, so that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tessera.scratch", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.tessera.scratch", found)
     return found.rstrip("/")
@@ -44,13 +50,24 @@ def materialise(df: DataFrame, what: str, partition_by: str | None = None) -> Da
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` made and that nothing needs any more."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` made and that nothing needs any more."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so once the driver's collector finds their plans unused, which a
+    driver with little to do may not run for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fresh(name: str, taken: list[str]) -> str:

@@ -1,14 +1,19 @@
 """N-gram Jaccard self-join by PartEnum signatures.
 
 A text is the set of hashes of its five-word shingles.  Sets are put into size
-bands (bounds grow by 1/similarity), so similar sets are in one band or in
-neighbouring ones, and each such pair of bands is a level with a bound on how
-many elements similar sets can differ in, ``d``.  A level cuts the feature
-domain into ``n1`` parts by hash and enumerates the single parts of each set
-(PartEnum's subsets of size one out of the parts of a group); a signature is
-the level, the part and the hash of what the set has there.  Two sets that
-differ in at most d elements differ in at most d parts and so share at least
-n1 - d signatures.
+bands whose bounds grow threefold, so similar sets are in one band or in
+neighbouring ones; a pair belongs to the level of its smaller set's band, and a
+set near a band's lower bound takes part in the level below as well.  A level
+cuts the feature domain into ``n1`` parts by hash and enumerates subsets of
+the parts; a signature is the level, the subset and the hash of what the set
+has there.  Two sets that differ in at most d elements differ in at most d
+parts, so they share at least n1 - d single parts.
+
+Of PartEnum's parameters those of fewest signatures are taken: subsets of one
+part (no scheme that bears d differences has fewer than d + 1 signatures;
+subsets of two out of three parts need half as many again), and as many parts
+as the largest sets of the band need, for which fewer, wider bands let most
+sets take part in one level only: about 0.4 signatures a shingle.
 
 All parts of a set are ranked by one global order that puts parts holding many
 uncommon shingles first; by the pigeonhole principle sharing n1 - d parts
@@ -40,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import _text
-from tessera.llm._io import discard, materialise
+from tessera.llm._io import discard, fresh, materialise, release
 from tessera.llm.components import components
 
 WORDS = 5
@@ -48,8 +53,13 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Extra parts that the ranking may leave out, as a share of the needed ones.
 SLACK = 0.5
+#: Upper size bound of the first band, and what the bound grows by from band to band.
+FIRST_BAND, STRETCH = 24, 3
+#: Parts of a level at least, so that the elements of small sets lie apart.
+LEAST_PARTS = 64
 #: 64-bit words in a set's odd sketch.
 SKETCH = 16
+_SKETCHES = [f"k{i}" for i in range(SKETCH)]
 #: Leaders that each class is held against first.
 LEADERS = 3
 #: Texts in the sample that finds common shingles, in how many of them a shingle must be, and most shingles kept.
@@ -61,11 +71,9 @@ BROADCAST_IDS = 2_000_000
 @cache
 def _bands(upto: int) -> tuple[int, ...]:
     """Upper size bound of each band, the last at least ``upto``."""
-    out, low = [], 1
-    while not out or out[-1] < upto:
-        high = max(low, low * DEN // NUM)
-        out.append(high)
-        low = high + 1
+    out = [FIRST_BAND]
+    while out[-1] < upto:
+        out.append(out[-1] * STRETCH)
     return tuple(out)
 
 
@@ -90,23 +98,17 @@ def differ_up_to(low: int, high: int) -> int:
 @cache
 def _plan(size: int) -> tuple[tuple[int, int, int, bool], ...]:
     """(level, parts, how many to emit, whether it's the set's own level) for a set of ``size`` elements."""
-    bands = _bands(max(4 * size, 64))
+    bands = _bands(size)
     band = next(i for i, high in enumerate(bands) if size <= high)
+    least, most = -(-size * NUM // DEN), size * DEN // NUM  # sizes of similar sets
     out = []
     for level in (band, band - 1):
-        if level < 0:
-            continue
-        low, top = bands[level - 1] + 1 if level else 1, bands[level]
-        above = bands[level + 1]
-        need = differ_up_to(2 * low, top + min(above, top * DEN // NUM))
-        parts = need + 1 + int(np.ceil(SLACK * (need + 1))) if need else 1
-        least = max(low, -(-size * NUM // DEN))  # of the sizes that this one can be similar to in the level
-        if level == band:
-            d = differ_up_to(size + least, size + min(above, size * DEN // NUM))
-        else:
-            if least > top:
-                continue  # nothing in the lower band is large enough
-            d = differ_up_to(size + least, size + top)
+        if level < 0 or least > bands[level]:
+            continue  # nothing in the lower band is large enough
+        top = bands[level]
+        need = differ_up_to(2, top + top * DEN // NUM)
+        parts = max(LEAST_PARTS, need + 1 + int(np.ceil(SLACK * (need + 1))))
+        d = differ_up_to(size + least, size + (most if level == band else top))
         out.append((level, parts, min(parts, d + 1), level == band))
     return tuple(out)
 
@@ -142,8 +144,8 @@ def _sets(batch_text: pa.Array):
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, size of its set, and the set's class (null for an empty set)."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("c", T.LongType())])
+    """Per row: id, size n of its set, the set's class c (null for an empty set) and its odd sketch."""
+    schema = T.StructType([T.StructField(name, T.LongType()) for name in ("id", "n", "c", *_SKETCHES)])
 
     @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +153,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             s, _, bounds = _sets(batch.column(1))
             n = np.diff(bounds)
             c = pa.array(_text.fold_sets(s, bounds).view(np.int64), pa.int64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), c], names=["id", "n", "c"])
+            words = odd_sketches(s, bounds)
+            sketch = (pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), c, *sketch], names=schema.names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
 
@@ -223,12 +227,39 @@ def odd_sketches(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, SKETCH), np.int64)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar, by exact intersection."""
+def _verify(docs: DataFrame, pairs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar, by exact intersection; only sets that a pair asks for are made."""
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    wanted = materialise(heads.join(wanted, "c", "left_semi").select("id", "c", "repeats"), "wanted")
+    n_wanted, repeats = wanted.agg(F.count(F.lit(1)), F.max("repeats")).first()
+    if not n_wanted:
+        discard(pairs, wanted)
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    sets = _sets_of(docs, wanted, n_wanted, id_col, text_col)
+    sets = materialise(sets.dropDuplicates(["c"]) if repeats > 1 else sets, "sets")
     left = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b")
+    out = materialise(both.where(common * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b"), "found")
+    discard(pairs, wanted, sets)
+    release(docs.sparkSession)
+    return out
+
+
+def _apart(x: str, y: str) -> Column:
+    """In how many bits the sketches of two rows differ."""
+    return sum((F.bit_count(F.col(f"{k}_{x}").bitwiseXOR(F.col(f"{k}_{y}"))) for k in _SKETCHES), F.lit(0))
+
+
+def _could_be_similar(x: str = "x", y: str = "y") -> Column:
+    """Sizes and sketches allow two rows to be similar."""
+    nx, ny = F.col(f"n_{x}"), F.col(f"n_{y}")
+    return (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & (_apart(x, y) <= _most(nx, ny))
+
+
+def _named(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns))
 
 
 def _most(a: Column, b: Column) -> Column:
@@ -240,8 +271,8 @@ def _most(a: Column, b: Column) -> Column:
 def links(docs: DataFrame, members: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Links (u, v) between classes that connect all classes that any links connect.
 
-    ``members`` has (id, n, c) as ``classes`` gives them.  Verified pairs that
-    would only join what is joined already are left out.
+    ``members`` has what ``classes`` gives, without empty sets.  Verified
+    pairs that would only join what is joined already are left out.
     """
     spark = docs.sparkSession
     rows = _signature_rows(docs, text_col, common_shingles(docs, members, id_col, text_col))
@@ -250,75 +281,65 @@ def links(docs: DataFrame, members: DataFrame, *, id_col: str, text_col: str) ->
     rows = rows.select("sig", "c", "e", F.lag("c").over(by).alias("before"), (F.first("c").over(whole) != F.last("c").over(whole)).alias("several"))
     # copies in other tasks give the same row again: keep the first of each
     shared = materialise(rows.where("several and (before is null or before <> c)").select("sig", "c", "e"), "shared")
-    wanted = members.join(shared.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
-    wanted = materialise(wanted, "wanted")
-    n_wanted = wanted.count()
-    if not n_wanted:
-        return spark.createDataFrame([], "u long, v long")
-    sets = materialise(_sets_of(docs, wanted, n_wanted, id_col, text_col), "sets")
+    release(spark)
+    # one row a class that shares a signature: its least id, how many rows have that, its size and sketch
+    heads = members.join(shared.select("c").distinct(), "c", "left_semi").groupBy("c", "id").agg(F.count(F.lit(1)).alias("repeats"), *(F.first(k).alias(k) for k in ("n", *_SKETCHES)))
+    heads = heads.groupBy("c").agg(F.min(F.struct("id", "repeats")).alias("i"), *(F.first(k).alias(k) for k in ("n", *_SKETCHES)))
+    heads = materialise(heads.select("c", "i.id", "i.repeats", "n", *_SKETCHES), "heads")
+    sized = heads.select("c", "n", *_SKETCHES)
 
     # step one: against the leaders of its groups, those first that it meets most often
     popular = shared.join(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig").groupBy("c").agg(F.sum("size").alias("p"))
     leader = shared.join(popular, "c").groupBy("sig").agg(F.max(F.struct("p", "c")).alias("l")).select("sig", F.col("l.c").alias("a"))
     met = shared.join(leader, "sig").where("a <> c").groupBy("a", F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("k"))
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))).where(F.col("r") <= LEADERS)
-    first = materialise(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    found = materialise(_verify(first, sets), "found")
+    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = first.join(_named(sized, "x").withColumnRenamed("c_x", "a"), "a").join(_named(sized, "y").withColumnRenamed("c_y", "b"), "b")
+    first = materialise(first.where(_could_be_similar()).select("a", "b"), "first")
+    release(spark)
+    found = _verify(docs, first, heads, id_col, text_col)
 
     # step two: what still lies in different components
     label = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    sketches = [f"k{i}" for i in range(SKETCH)]
     group = Window.partitionBy("sig")
     mixed = shared.join(label.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "e", F.coalesce("component", "c").alias("g"))
     mixed = mixed.withColumn("_m", F.min("g").over(group) != F.max("g").over(group)).where("_m").drop("_m")
-    mixed = materialise(mixed.join(sets.select("c", "n", *sketches), "c"), "mixed")
-    x, y = (mixed.select(*(F.col(c).alias(f"{c}_{t}") for c in mixed.columns)) for t in "xy")
-    apart = sum((F.bit_count(F.col(f"{k}_x").bitwiseXOR(F.col(f"{k}_y"))) for k in sketches), F.lit(0))
-    nx, ny = F.col("n_x"), F.col("n_y")
-    fits = (F.col("sig_x") == F.col("sig_y")) & (F.col("g_x") < F.col("g_y"))
+    mixed = materialise(mixed.join(sized, "c"), "mixed")
+    discard(shared)
+    release(spark)
+    x, y = _named(mixed, "x"), _named(mixed, "y")
     # a level is for pairs of which it is one's own
-    fits &= ((F.col("e_x") > 0) | (F.col("e_y") > 0)) & (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & (apart <= _most(nx, ny))
-    pairs = x.join(y, fits).select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b"), (F.least(F.abs("e_x"), F.abs("e_y")) - _most(nx, ny)).alias("least"))
+    fits = (F.col("sig_x") == F.col("sig_y")) & (F.col("g_x") < F.col("g_y")) & ((F.col("e_x") > 0) | (F.col("e_y") > 0)) & _could_be_similar()
+    least = F.least(F.abs("e_x"), F.abs("e_y")) - _most(F.col("n_x"), F.col("n_y"))
+    pairs = x.join(y, fits).select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b"), least.alias("least"))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("least").alias("least")).where("k >= least").select("a", "b")
-    more = materialise(_verify(pairs.join(first, ["a", "b"], "left_anti"), sets), "found")
-    for used in (shared, first, mixed, sets, wanted):
-        discard(used)
+    more = _verify(docs, pairs.join(first, ["a", "b"], "left_anti"), heads, id_col, text_col)
+    discard(first, mixed, heads)
     return found.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, text_col: str) -> DataFrame:
-    """(class, sorted set) for one text of each wanted class; the text is found by its id."""
+    """(class, sorted set) for the texts of the wanted classes' ids (id, c), found by their ids: one row for each row of that id and class."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     wanted = wanted.select("id", "c")
     side = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    picked = texts.join(side, "id").select("c", "t")
-    sketches = [f"k{i}" for i in range(SKETCH)]
-    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.LongType())), *(T.StructField(k, T.LongType()) for k in sketches)])
+    # a class may have rows with null ids only
+    picked = texts.join(side, texts["id"].eqNullSafe(wanted["id"])).select("c", "t")
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
 
     @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in _text.slices(b, 1)):
             s, _, bounds = _sets(batch.column(1))
             right = pa.array(_text.fold_sets(s, bounds).view(np.int64)).to_numpy() == batch.column(0).to_numpy()
-            words = odd_sketches(s, bounds)
-            out = pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array(np.diff(bounds), pa.int64()),
-                _text.list_column(s.view(np.int64), bounds, pa.int64()),
-                *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH)),
-            ], names=schema.names)
+            out = pa.RecordBatch.from_arrays([batch.column(0), _text.list_column(s.view(np.int64), bounds, pa.int64())], names=schema.names)
             yield out.filter(pa.array(right))  # rows may share an id
 
-    return picked.mapInArrow(run, schema).dropDuplicates(["c"])
+    return picked.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id.
-
-    component_id is the least id reachable by links, the row's own included.
-    Null, empty and blank texts have no shingles and no links.  Ids must be
-    whole numbers; null ids are kept, with a null component unless linked.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, n, class c (null for an empty set) and component_id."""
     members = materialise(classes(docs, id_col, text_col), "members")
     found = links(docs, members.where("c is not null"), id_col=id_col, text_col=text_col)
     label = components(found)
@@ -326,13 +347,65 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     heads = heads.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
     lows = heads.groupBy("g").agg(F.min("low").alias("component_id"))
     named = heads.select("c", "g").join(lows, "g").select("c", "component_id")
-    out = members.join(named, "c", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return members.join(named, "c", "left").select("id", "n", "c", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id.
+
+    component_id is the least id reachable by links, the row's own included.
+    Null, empty and blank texts have no shingles and no links.  Ids must be
+    whole numbers; null ids are kept, with a null component unless linked.
+    Repeated rows give one row each.
+    """
+    out = _components(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, that are their component's least id; equal ids in a component keep one row."""
-    marks = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col)
-    gone = materialise(marks.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """The rows, all columns, that are their component's least id; of rows that share that id one stays.
+
+    Rows without shingles (null, empty or blank texts) are in no group and all
+    stay, as do rows with a null id that nothing links to a row with one.
+    Where ids repeat, a row goes by its id and its set, so a text that shares
+    its id with a copy of another text isn't taken for one.
+    """
+    marks = _components(docs.select(id_col, text_col), id_col, text_col).where("c is not null")
+    gone = materialise(marks.where(F.col("component_id") != F.col("id")).select(F.col("id").alias("_gone"), F.col("c").alias("_class")).distinct(), "gone")
+    # ids that more than one row of a component keeps, or that both stay and go: none where ids are unique
+    twice = marks.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 and id is not null").select(F.col("id").alias("_twice"))
+    twice = materialise(twice, "twice")
+    plain = gone.select("_gone").distinct()
+    if twice.isEmpty():
+        return _without(docs, plain, docs[id_col].cast("long") == plain["_gone"])
+    name, place = fresh("_set", docs.columns), fresh("_place", docs.columns)
+    clear = _without(docs, twice, docs[id_col].cast("long") == twice["_twice"])
+    clear = _without(clear, plain, clear[id_col].cast("long") == plain["_gone"])
+    side = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
+    again = _with_class(docs.join(side, docs[id_col].cast("long") == twice["_twice"], "left_semi"), text_col, name)
+    again = _without(again, gone, (again[id_col].cast("long") == gone["_gone"]) & (again[name] == gone["_class"]))
+    # of equal ids in one component one row: those of one class, or of classes that share the component
+    heads = marks.select(F.col("id").alias("_head"), F.col("c").alias("_c"), "component_id").where("component_id = _head").distinct()
+    again = again.join(heads, (again[id_col].cast("long") == heads["_head"]) & (again[name] == heads["_c"]), "left")
+    by = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(F.col(text_col).cast("string")), F.col(text_col).cast("string"))
+    again = again.withColumn(place, F.when(F.col("_head").isNotNull(), F.row_number().over(by.partitionBy(F.col(id_col), F.col("_head").isNull()))))
+    again = again.where(F.col(place).isNull() | (F.col(place) == 1))
+    return clear.unionByName(again.select(*docs.columns))
+
+
+def _without(docs: DataFrame, ids: DataFrame, same: Column) -> DataFrame:
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, same, "left_anti")
+
+
+def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Add each row's class (null for an empty set) as ``name``."""
+    at = docs.columns.index(text_col)
+
+    @_text.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in _text.slices(b, at)):
+            s, _, bounds = _sets(batch.column(at).cast(pa.string()))
+            c = pa.array(_text.fold_sets(s, bounds).view(np.int64), pa.int64(), mask=np.diff(bounds) == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, c], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
