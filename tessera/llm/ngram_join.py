@@ -237,12 +237,14 @@ def _verify(docs: DataFrame, pairs: DataFrame, heads: DataFrame, id_col: str, te
         discard(pairs, wanted)
         return docs.sparkSession.createDataFrame([], "a long, b long")
     sets = _sets_of(docs, wanted, n_wanted, id_col, text_col)
-    sets = materialise(sets.dropDuplicates(["c"]) if repeats > 1 else sets, "sets")
+    if repeats > 1:
+        sets = sets.dropDuplicates(["c"])
+    # both joins read one exchange of the sets, which needs no table beside it
     left = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     out = materialise(both.where(common * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b"), "found")
-    discard(pairs, wanted, sets)
+    discard(pairs, wanted)
     release(docs.sparkSession)
     return out
 
