@@ -88,6 +88,10 @@ class Store:
 
     insert = update = upsert
 
+    def insert_vectors(self, collection: str, vectors: DataFrame) -> None:
+        """Vectors (id, vector[, metadata]) as documents without text, of category ``vector``."""
+        self.upsert(collection, vectors.withColumns({"text": F.lit(""), "category": F.lit("vector")}))
+
     def delete(self, collection: str, ids: Sequence[str]) -> None:
         """Delete by id; absent ids are fine and still make an event."""
         rows = self.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -112,7 +116,7 @@ class Store:
             gone = pairs.select("collection", "id", "__place", *(F.lit(None).cast(DOCUMENT[c].dataType).alias(c) for c in _FIELDS))
             self._append(gone, F.col("collection"), "delete", not quiet)
             return pairs.select("collection", "id", F.lit("deleted").alias("status"))
-        changed = updated(self.all(), pairs)
+        changed = updated(snapshot(self.log().where(F.col("collection").isin(names))), pairs)
         status = self.spark.createDataFrame(changed.select("collection", "id", F.lit("updated").alias("status")).toArrow()) if names else changed
         self._append(changed, F.col("collection"), "update", not quiet)
         return status

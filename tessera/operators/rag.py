@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.vector import knn
+from tessera.operators.vector import l2, query_vector
 
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -150,6 +150,7 @@ def chunk_tokens(df: DataFrame, config: Chunking = Chunking(), *, tokenizer_path
 # -- embeddings
 
 
+@lru_cache(1 << 17)
 def _bytes_hash(word: str) -> int:
     h = FNV_OFFSET
     for b in word.encode("utf-8"):
@@ -214,8 +215,10 @@ def search(chunks: DataFrame, question: str, k: int, *, embedding: Embedding = E
     ``doc_id`` is the id without its chunk number; with ``compat``, what
     stands before its first hyphen.
     """
-    found = knn(chunks, embed_text(question, embedding).tolist(), k, compat=compat)
-    out = chunks.drop("doc_id").join(F.broadcast(found), "id").withColumnRenamed("distance", "score")
+    far = l2(F.col("vector"), query_vector(embed_text(question, embedding).tolist()))
+    # chunks without a vector come last and are left out; one pass makes each vector once
+    score = far if compat else F.when(F.size("vector") > 0, far)
+    out = chunks.drop("doc_id").withColumn("score", score).orderBy(F.col("score").asc_nulls_last(), "id").limit(k).where("score is not null")
     doc = F.split("id", "-")[0] if compat else F.regexp_replace("id", r"-\d+$", "")
     return out.withColumn("doc_id", doc).orderBy("score", "id")
 
@@ -225,6 +228,11 @@ def list_docs(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id").distinct()
 
 
+def get_chunk(chunks: DataFrame, chunk_id: str) -> DataFrame:
+    """One chunk by its id."""
+    return chunks.where(F.col("id") == chunk_id)
+
+
 def get_doc(chunks: DataFrame, doc_id: str) -> DataFrame:
     """A document's chunks in order."""
     return chunks.where(F.col("doc_id") == doc_id).orderBy("chunk_index")

@@ -236,12 +236,27 @@ def chunk_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_index", F.md5("text").alias("digest"), "token_count", "total_chunks")
 
 
-@query()
+_TOKEN_CHUNKS_SQL = r"""
+WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS d, text, regexp_extract_all(text, '\S+') AS words, regexp_split_to_array(text, '\S+') AS gaps FROM documents WHERE text IS NOT NULL),
+p AS (SELECT d, unnest(range(0, len(words))) AS i, unnest(words) AS w, unnest(gaps[: len(words)]) AS g FROM t),
+s AS (SELECT d, i, sum(length(g) + length(w)) OVER (PARTITION BY d ORDER BY i) AS stop, length(w) AS n FROM p),
+e AS (SELECT d, list(stop - n ORDER BY i) AS a, list(stop ORDER BY i) AS b FROM s GROUP BY d),
+k AS (SELECT t.d, t.text, len(words) AS total, e.a, e.b, unnest(range(0, CASE WHEN len(words) <= 512 THEN 1 ELSE ceil((len(words) - 512) / 462.0)::BIGINT + 1 END)) AS k FROM t JOIN e USING (d)),
+x AS (SELECT d, k, text, total <= 512 AS whole, 462 * k + 512 >= total AS last, a[462 * k + 1]::BIGINT AS lo, CASE WHEN 462 * k + 512 >= total THEN length(text) ELSE b[462 * k + 512] END::BIGINT AS hi, total FROM k),
+y AS (SELECT d, k, last, total, CASE WHEN whole THEN 0 ELSE lo END AS lo, CASE WHEN whole THEN length(text) ELSE hi END AS hi, CASE WHEN whole THEN text ELSE substr(text, lo + 1, hi - lo) END AS piece FROM x),
+z AS (SELECT d, k, last, lo, hi, CASE WHEN last OR NOT regexp_matches(piece, '[.!?\n]') THEN piece ELSE regexp_extract(piece, '^(?s:.*)[.!?\n]') END AS piece FROM y),
+f AS (SELECT d, k, last, lo, CASE WHEN last THEN hi ELSE lo + length(piece) END AS hi, len(regexp_extract_all(piece, '\S+')) AS n FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY d) AS c FROM f WHERE n >= 50 OR last)
+SELECT concat(d, '-', i) AS id, d AS doc_id, n::BIGINT AS token_count, lo::BIGINT AS start_offset, hi::BIGINT AS end_offset, c AS total_chunks FROM r
+"""
+
+
+@query(_TOKEN_CHUNKS_SQL)
 def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.chunk_tokens(Tables(spark, sf_dir)["documents"].df.select("id", "text")).select("id", "doc_id", "token_count", "start_offset", "end_offset", "total_chunks")
 
 
-@query()
+@query("SELECT concat(conv_id, '-', turn) AS id, 384::INT AS dimension, CASE WHEN length(text) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM conversations")
 def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = rag.embed()("text")
     return Tables(spark, sf_dir)["conversations"].df.select("id", v.alias("v")).select("id", F.size("v").alias("dimension"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
@@ -366,3 +381,6 @@ def logs_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_LOGS_SQL} AND user_id = 7")
 def logs_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.by_user(logs.parse(_log_lines(spark, sf_dir)), "u7").select("target", "message")
+
+
+from tessera import queries_sql, queries_store  # noqa: E402, F401  (they register theirs here)

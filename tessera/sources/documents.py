@@ -20,6 +20,11 @@ DOCUMENT = T.StructType([
 PLACEHOLDER = (0.0, 0.0, 0.0, 0.0)
 
 
+def with_placeholder(docs: DataFrame) -> DataFrame:
+    """Envelope rows whose empty vectors are the placeholder."""
+    return docs.withColumn("vector", F.when(F.size("vector") > 0, F.col("vector")).otherwise(F.array(*(F.lit(x).cast("float") for x in PLACEHOLDER))))
+
+
 def no_vector() -> Column:
     return F.array().cast("array<float>")
 
@@ -62,13 +67,21 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("id"), F.col("value").alias("text"), "source")
 
 
+#: Instruments: name, family, weight in kg, how bright, soft and low they sound.
+_INSTRUMENTS = (
+    ("violin", "strings", 0.5, (0.9, 0.4, 0.1)),
+    ("cello", "strings", 3.2, (0.4, 0.7, 0.8)),
+    ("harp", "strings", 36.0, (0.6, 0.9, 0.5)),
+    ("oboe", "winds", 0.7, (0.8, 0.3, 0.2)),
+    ("tuba", "winds", 9.5, (0.1, 0.5, 1.0)),
+    ("celesta", "keys", 95.0, (1.0, 0.8, 0.0)),
+)
+
+
 def sample(spark: SparkSession) -> DataFrame:
-    """Ten small documents with unit-like vectors, for trying things out."""
-    rows = []
-    for i in range(10):
-        vector = [0.1] * 4
-        vector[i % 4] = 1.0
-        rows.append((f"doc{i}", f"Sample document number {i}", "AI" if i % 2 == 0 else "DB", vector, f'{{"source":"sample","tags":["t{i % 3}"]}}'))
+    """Six small documents about instruments, with vectors, for trying things out."""
+    text = "The {} belongs to the {} and weighs {} kg."
+    rows = [(name, text.format(name, family, kg), family, list(sound), f'{{"kg":{kg},"letters":{len(name)}}}') for name, family, kg, sound in _INSTRUMENTS]
     return spark.createDataFrame(rows, DOCUMENT)
 
 
