@@ -198,7 +198,7 @@ n AS (SELECT r, h AS x FROM h4 UNION ALL SELECT r, k FROM h4 WHERE c2 IS NOT NUL
 w AS (SELECT r, unnest(regexp_extract_all(text, '\\S+')) AS word FROM t),
 d AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM w)),
 b AS (SELECT word, list_reduce(list_prepend({_OFFSET}, [('0x' || substr(x, (2 * j + 1)::BIGINT, 2))::INT::HUGEINT FOR j IN range(length(x) // 2)]), lambda p, q: {_STEP.format('p', 'q')}) AS y FROM d),
-s AS (SELECT r, x % 384 AS slot, 1.0 AS v FROM n UNION ALL SELECT r, (x // 4294967296) % 384, 0.5 FROM n UNION ALL SELECT w.r, y % 384, 2.0 FROM w JOIN b USING (word))
+s AS (SELECT r, x % 384 AS slot, 1.0 AS v FROM n UNION ALL SELECT r, (x // 4294967296) % 384, 0.5 FROM n UNION ALL SELECT w.r, y % 384, 2.0 FROM w JOIN b USING (word)),
 v AS (SELECT r, slot, sum(v)::DOUBLE AS v FROM s GROUP BY r, slot)
 """
 
