@@ -14,7 +14,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import warnings
-from functools import wraps
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import pyarrow.compute
 #: Hashes wrap around by design.
 warnings.filterwarnings("ignore", "overflow encountered", RuntimeWarning)
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -85,11 +85,26 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+@cache
+def lean() -> None:
+    """Let this process give large arrays back as soon as they are freed.
+
+    The C library's allocator raises the size from which it maps memory apart
+    with each large block that is freed, and then keeps what it gets; Arrow's
+    own pool keeps memory too.  Workers live on from stage to stage, so what
+    one stage keeps adds to the next one's needs.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def trimmed(run):
-    """A generator function over batches that trims memory when its task ends."""
+    """A generator function over batches that keeps little memory and trims it when its task ends."""
 
     @wraps(run)
     def wrapper(batches):
+        lean()
         try:
             yield from run(batches)
         finally:
@@ -98,7 +113,7 @@ def trimmed(run):
     return wrapper
 
 
-def slices(batch: pa.RecordBatch, at: int, budget: int = 4 << 20):
+def slices(batch: pa.RecordBatch, at: int, budget: int = 2 << 20):
     """The batch in runs of rows of about ``budget`` bytes of text (one row at least), to bound memory."""
     column = batch.column(at)
     size = np.cumsum(np.nan_to_num(pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(float)))

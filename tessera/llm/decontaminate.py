@@ -40,6 +40,8 @@ RADIUS = 12
 #: Items that one pass over the documents looks for; a larger benchmark takes more passes.
 ITEMS = 20_000
 _FILTER_BITS = 22
+#: Words, and windows, whose 64 sums are held at once.
+STRETCH = 8192
 
 
 def _shingles(h: np.ndarray) -> np.ndarray:
@@ -180,13 +182,13 @@ class Index:
         stop = start + self.lengths[place]
         prints = np.empty(len(start), np.uint64)
         # running sums over one stretch of words at a time bound the memory
-        for low in range(int(start.min()) // 32768 * 32768, int(start.max()) + 1, 32768):
-            here = np.flatnonzero((start >= low) & (start < low + 32768))
+        for low in range(int(start.min()) // STRETCH * STRETCH, int(start.max()) + 1, STRETCH):
+            here = np.flatnonzero((start >= low) & (start < low + STRETCH))
             if len(here):
                 a, b = int(start[here].min()), int(stop[here].max())
                 sums = _running(words[a:b])
-                for k in range(0, len(here), 65536):
-                    part = here[k : k + 65536]
+                for k in range(0, len(here), STRETCH):
+                    part = here[k : k + STRETCH]
                     prints[part] = _pack(sums[stop[part] - a] - sums[start[part] - a])
         return start, place, prints
 
@@ -254,7 +256,7 @@ def find(df: DataFrame, index: Index, *, text_col: str, out_col: str) -> DataFra
     @_text.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        for batch in (part for b in batches for part in _text.slices(b, at)):
+        for batch in (part for b in batches for part in _text.slices(b, at, 2 << 20)):
             h, bounds = _text.tokens(*_text.buffers(batch.column(at)), wordy=True)
             s, at_s = _text.grams(h, bounds, WORDS, short=False)
             found = index.search(h, bounds, s, at_s)
