@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,10 +70,19 @@ def sessions(events: DataFrame, gap: str, *keys: str, late: str | None = None) -
 
 
 def run_now(stream: DataFrame, name: str, *, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Process all that is there into an in-memory table and return it: for tests and small reports."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    """Process all that is there into an in-memory table and return it: for tests and small reports.
+
+    The table is this run's alone and leaves no view behind, so runs at the
+    same time don't collide; ``name`` begins the name of the stream.
+    """
+    spark = stream.sparkSession
+    view = f"{name}_{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("memory").queryName(view).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    try:
+        query.awaitTermination()
+        return spark.table(view)
+    finally:
+        spark.catalog.dropTempView(view)
