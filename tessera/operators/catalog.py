@@ -17,6 +17,7 @@ _SCHEMAS = {
     "environments": "id string, name string, tenant string",
     "collections": "id string, name string, environment string",
     "sessions": "id string, username string, started long, seen long, active boolean",
+    "session_log": "session string, level string, message string, at long",
 }
 
 
@@ -31,6 +32,7 @@ class Catalog:
     environments: DataFrame
     collections: DataFrame
     sessions: DataFrame
+    session_log: DataFrame | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Catalog:
@@ -77,3 +79,28 @@ class Catalog:
     def expire(self, before: int) -> Catalog:
         """Drop sessions not seen since ``before``."""
         return replace(self, sessions=self.sessions.where(F.col("seen") >= before))
+
+    # -- what sessions noted
+
+    def note(self, entries: DataFrame) -> Catalog:
+        """Add entries (session, level, message, at) to the session log."""
+        entries = entries.select("session", "level", "message", F.col("at").cast("long").alias("at"))
+        return replace(self, session_log=entries if self.session_log is None else self.session_log.unionByName(entries))
+
+    def notes(self, session: str, level: str | None = None) -> DataFrame:
+        """A session's entries, of one level in either case if that is given, oldest first."""
+        if self.session_log is None:
+            return self.sessions.sparkSession.createDataFrame([], _SCHEMAS["session_log"])
+        found = self.session_log.where(F.col("session") == session)
+        return (found.where(F.lower("level") == level.lower()) if level is not None else found).orderBy("at", "level", "message")
+
+    def clear_notes(self, session: str) -> Catalog:
+        """Drop a session's entries; entries without a session stay."""
+        return self if self.session_log is None else replace(self, session_log=self.session_log.where(~F.col("session").eqNullSafe(session)))
+
+    def clean_notes(self) -> Catalog:
+        """Drop the entries of sessions that are no longer there."""
+        if self.session_log is None:
+            return self
+        there = self.sessions.select(F.col("id").alias("session"))
+        return replace(self, session_log=self.session_log.join(there, "session", "left_semi"))

@@ -9,8 +9,10 @@ source of the change stream.
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,9 +44,10 @@ def snapshot(log: DataFrame) -> DataFrame:
 class Store:
     """Collections under one path."""
 
-    def __init__(self, spark: SparkSession, path: str, *, compat: bool = False):
+    def __init__(self, spark: SparkSession, path: str, *, compat: bool = False, cached: int = 4):
         self.spark, self.path, self.compat = spark, path.rstrip("/"), compat
         self._last = 0
+        self._cached, self._snapshots = cached, OrderedDict[str, DataFrame]()
 
     def _batch(self) -> int:
         self._last = max(self._last + 1, time.time_ns())
@@ -52,11 +55,11 @@ class Store:
 
     def log(self) -> DataFrame:
         """All changes so far."""
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not target.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).exists(target):
-            return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(self.path)
+        return self.spark.read.schema(LOG).parquet(self.path) if self._exists() else self.spark.createDataFrame([], LOG)
+
+    def _exists(self) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return target.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).exists(target)
 
     def _append(self, df: DataFrame, collection: Column | str, op: Column | str, emit: bool) -> None:
         op = F.lit(op) if isinstance(op, str) else op
@@ -64,6 +67,7 @@ class Store:
         place = F.col("__place") if "__place" in df.columns else F.monotonically_increasing_id()
         rows = df.select("id", op.alias("op"), F.lit(self._batch()).alias("batch"), place.cast("long").alias("place"), *(F.col(c) for c in _FIELDS), F.lit(emit).alias("emit"), collection.alias("collection"))
         rows.write.mode("append").partitionBy("collection").parquet(self.path)
+        self.forget()
 
     # -- reads
 
@@ -74,6 +78,27 @@ class Store:
     def get(self, collection: str, doc_id: str) -> DataFrame:
         return snapshot(self.log().where((F.col("collection") == collection) & (F.col("id") == doc_id))).drop("collection")
 
+    def get_cached(self, collection: str, doc_id: str) -> tuple[DataFrame, bool]:
+        """``get`` on a kept snapshot of the collection, and whether that was kept already.
+
+        The ``cached`` collections last read are kept, in Spark's storage and on
+        disk beyond it; any write through this store drops them.  Writes of
+        other stores aren't seen until ``forget``.
+        """
+        hit = collection in self._snapshots
+        if not hit:
+            self._snapshots[collection] = self.scan(collection).persist(StorageLevel.MEMORY_AND_DISK)
+        self._snapshots.move_to_end(collection)
+        found = self._snapshots[collection].where(F.col("id") == doc_id)
+        while len(self._snapshots) > max(1, self._cached):
+            self._snapshots.popitem(last=False)[1].unpersist()
+        return found, hit
+
+    def forget(self) -> None:
+        """Drop the kept snapshots."""
+        while self._snapshots:
+            self._snapshots.popitem()[1].unpersist()
+
     def all(self) -> DataFrame:
         return snapshot(self.log())
 
@@ -102,6 +127,29 @@ class Store:
         rows = self.scan(collection).select("id", *(F.lit(None).cast(DOCUMENT[c].dataType).alias(c) for c in _FIELDS))
         self._append(rows, collection, "delete", False)
 
+    def compact(self, collection: str) -> None:
+        """Rewrite a collection's log as its snapshot; replaced and deleted rows go, and with them their events.
+
+        Nobody else may read or write the collection meanwhile, and consumers of
+        its stream must have caught up.  Rows keep their batch, so what is
+        written later still wins.  Old files go oldest first: should that be
+        interrupted, a delete outlives the rows that it hides.
+        """
+        if not self._exists():
+            return
+        log = self.log().where(F.col("collection") == collection)
+        files = [r.path for r in log.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.max("batch").alias("batch")).orderBy("batch").collect()]
+        if not files:
+            return
+        whole = F.struct(*log.columns)
+        last = log.groupBy("id").agg(F.max_by(whole, F.struct("batch", "place")).alias("d")).select("d.*").where("op <> 'delete'")
+        last.withColumn("emit", F.lit(False)).write.mode("append").partitionBy("collection").parquet(self.path)
+        hadoop = self.spark._jsc.sc().hadoopConfiguration()
+        for path in files:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(path))
+            target.getFileSystem(hadoop).delete(target, False)
+        self.forget()
+
     def multi(self, spec: dict) -> DataFrame:
         """``{operation, collections, documents}`` over several collections: (collection, id, status)."""
         op, names, docs = parse_operation(spec)

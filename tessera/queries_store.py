@@ -12,7 +12,7 @@ from tessera.operators import dml, logs, rag
 from tessera.operators.catalog import Catalog
 from tessera.plans.compile import Engine
 from tessera.queries import _log_lines, _LOGS_SQL, agg, pipeline, query
-from tessera.sources import documents
+from tessera.sources import arrow, documents
 from tessera.sources.documents import Tables
 from tessera.streaming import cdc
 
@@ -81,6 +81,52 @@ def store_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.scan("vectors").select("id", "category", "text", F.size("vector").alias("size"))
 
 
+@query("SELECT step, hit, n FROM (VALUES (1, false, 1), (2, true, 1), (3, false, 0)) AS t(step, hit, n)")
+def store_get_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same document read anew, from the kept snapshot, and after it was deleted."""
+    store = _filled(spark, sf_dir)
+    rows = []
+    for step in (1, 2, 3):
+        if step == 3:
+            store.delete("customers", ["7"])
+        found, hit = store.get_cached("customers", "7")
+        rows.append((step, hit, found.count()))
+    store.forget()
+    return spark.createDataFrame(rows, "step int, hit boolean, n long")
+
+
+@query(f"SELECT id, text, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'changed' ELSE category END AS category, 1 AS rows FROM ({_C}) WHERE id <> '4'")
+def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that was compacted has each document once."""
+    store = _filled(spark, sf_dir)
+    store.update("customers", _customers(spark, sf_dir).where("id % 3 = 0").withColumn("category", F.lit("changed")))
+    store.delete("customers", ["4"])
+    store.compact("customers")
+    rows = store.log().where("collection = 'customers'").groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    return store.scan("customers").join(rows, "id", "full").select("id", "text", "category", "rows")
+
+
+@query(_C)
+def sink_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as Arrow streams, read back."""
+    docs = _customers(spark, sf_dir).select("id", "text", "category")
+    return arrow.from_ipc(arrow.to_ipc(docs), docs.schema)
+
+
+@query("""WITH m AS (SELECT concat('s', user_id % 50) AS subscriber, event_id AS t, CASE WHEN event_id % 7 = 0 THEN 'ping' WHEN event_id % 3 = 0 THEN 'unsubscribe' ELSE 'subscribe' END AS action,
+    CASE WHEN event_id % 2 = 0 THEN 'collection' ELSE 'document' END AS kind, CASE WHEN event_id % 2 = 0 THEN event_type ELSE concat(event_type, ':', user_id % 4) END AS key FROM events),
+h AS (SELECT subscriber, kind, key FROM m WHERE action <> 'ping' GROUP BY ALL HAVING max_by(action, t) = 'subscribe')
+SELECT * FROM h UNION ALL SELECT DISTINCT subscriber, 'all', '' FROM m WHERE subscriber NOT IN (SELECT subscriber FROM h)""")
+def cdc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscriptions that messages made of the events leave."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    number = lambda c, n: F.pmod(F.col(c), F.lit(n))
+    action = F.when(number("event_id", 7) == 0, "ping").when(number("event_id", 3) == 0, "unsubscribe").otherwise("subscribe")
+    one = F.when(number("event_id", 2) != 0, number("user_id", 4).cast("string"))
+    message = F.to_json(F.struct(action.alias("action"), F.col("event_type").alias("collection"), one.alias("id")))
+    return cdc.subscriptions(e.select(F.concat(F.lit("s"), number("user_id", 50)).alias("subscriber"), F.col("event_id").alias("at"), message.alias("message")))
+
+
 _SEGMENT = "(SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING')"
 
 
@@ -182,6 +228,18 @@ def catalog_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.touch("3", 1_000_000_000).end("5").expire(-(-last // 2)).sessions.select("id", "seen", "active")
 
 
+@query("SELECT event_type AS message, event_id AS at FROM events WHERE user_id = 3 AND event_id % 5 = 1")
+def catalog_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session's warnings, after another's entries were cleared and those of unknown sessions dropped."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    level = F.when(F.pmod("event_id", F.lit(5)) == 1, "Warn").otherwise("info")
+    entries = e.select(F.col("user_id").cast("string").alias("session"), level.alias("level"), F.col("event_type").alias("message"), F.col("event_id").alias("at"))
+    unknown = entries.limit(1).withColumn("session", F.lit("no such"))
+    catalog = _catalog(spark, sf_dir).note(entries).note(unknown).clear_notes("5").clean_notes()
+    assert catalog.notes("5").isEmpty() and catalog.notes("no such").isEmpty()
+    return catalog.notes("3", "WARN").select("message", "at")
+
+
 # -- retrieval
 
 _STEP = "(xor({0}, {1}::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT"

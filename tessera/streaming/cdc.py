@@ -45,6 +45,29 @@ def subscribe_by(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return events.join(subscriptions, match).select("subscriber", *events.columns).dropDuplicates()
 
 
+def subscriptions(messages: DataFrame) -> DataFrame:
+    """The control table that subscribers' messages leave.
+
+    ``messages`` has (subscriber, at, message): JSON with ``action`` subscribe or
+    unsubscribe and a ``collection``, with or without a document ``id``.  Other
+    actions, names that aren't strings, and texts that aren't such an object
+    change nothing; an ``id`` that isn't a string counts as absent.  The latest
+    message on a key decides (of equal times a subscribe); a subscriber who has
+    no key left gets everything.
+    """
+    m = F.try_parse_json("message")
+    at = lambda name: F.try_variant_get(m, f"$.{name}", "variant")
+    get = lambda name: F.when(F.schema_of_variant(at(name)) == "STRING", F.try_variant_get(m, f"$.{name}", "string"))
+    rows = messages.select("subscriber", "at", get("action").alias("action"), get("collection").alias("collection"), get("id").alias("id"))
+    rows = rows.withColumn("heard", F.coalesce(F.col("action").isin("subscribe", "unsubscribe") & F.col("collection").isNotNull(), F.lit(False)))
+    kind = F.when(F.col("id").isNull(), "collection").otherwise("document")
+    rows = rows.select("subscriber", "at", "action", F.when(F.col("heard"), kind).alias("kind"), F.when(F.col("heard"), F.concat_ws(":", "collection", "id")).alias("key"))
+    last = rows.groupBy("subscriber", "kind", "key").agg(F.max_by("action", F.struct("at", F.col("action") == "subscribe")).alias("action"))
+    held = last.where("key is not null and action = 'subscribe'").select("subscriber", "kind", "key")
+    empty = last.select("subscriber").distinct().join(held, "subscriber", "left_anti")
+    return held.unionByName(empty.select("subscriber", F.lit("all").alias("kind"), F.lit("").alias("key")))
+
+
 def with_time(events: DataFrame, column: str = "timestamp") -> DataFrame:
     """Event time as a timestamp column ``at`` (a time without zone is taken as UTC)."""
     kind = events.schema[column].dataType.simpleString()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog, dml, logs, rag, search, sqlapi, vector
+from tessera.sources import arrow
 from tessera.sources import documents as D
 from tessera.streaming import cdc
 
@@ -146,3 +147,58 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "n.txt").write_text("whole\ntext")
     r = D.read_text(spark, str(tmp_path / "n.txt")).first()
     assert (r.id, r.text) == ("n", "whole\ntext") and r.source.endswith("n.txt")
+
+
+def test_subscription_messages(spark):
+    rows = [
+        ("a", 1, '{"action":"subscribe","collection":"x"}'),
+        ("a", 2, '{"action":"subscribe","collection":"x","id":"1"}'),
+        ("a", 3, '{"action":"unsubscribe","collection":"x"}'),
+        ("b", 1, '{"action":"subscribe","collection":"x"}'),
+        ("b", 2, '{"action":"unsubscribe","collection":"x"}'),
+        ("c", 1, "not json"),
+        ("c", 2, '{"action":"shout","collection":"x"}'),
+        ("c", 3, '{"action":"subscribe","collection":5}'),
+        ("d", 1, '{"action":"subscribe","collection":"y","id":7}'),
+        ("d", 2, None),
+    ]
+    got = cdc.subscriptions(spark.createDataFrame(rows, "subscriber string, at long, message string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "document", "x:1"), ("b", "all", ""), ("c", "all", ""), ("d", "collection", "y")]
+
+
+def test_compaction(spark, tmp_path):
+    store = dml.Store(spark, str(tmp_path / "store"), cached=1)
+    store.compact("x")  # nothing there yet
+    store.insert("x", spark.createDataFrame([("1", "a"), ("2", "b")], "id string, text string"))
+    store.insert("y", spark.createDataFrame([("1", "other")], "id string, text string"))
+    store.update("x", spark.createDataFrame([("1", "c")], "id string, text string"))
+    store.delete("x", ["2"])
+    assert store.get_cached("x", "1")[1] is False
+    assert store.get_cached("x", "1")[1] is True
+    assert store.get_cached("y", "1")[1] is False
+    assert store.get_cached("x", "1")[1] is False  # one collection is kept
+    store.compact("x")
+    store.compact("x")
+    assert [(r.id, r.text, r.emit) for r in store.log().where("collection = 'x'").collect()] == [("1", "c", False)]
+    assert store.scan("y").first().text == "other"
+    store.delete("x", ["1"])
+    assert store.scan("x").isEmpty() and store.get_cached("x", "1")[0].isEmpty()
+    store.compact("x")
+    assert store.log().where("collection = 'x'").isEmpty()
+
+
+def test_arrow_streams(spark):
+    df = spark.createDataFrame([(1, None, [1.5]), (2, "b", None)], "a long, b string, c array<double>")
+    assert sorted(map(tuple, arrow.from_ipc(arrow.to_ipc(df), df.schema).collect())) == [(1, None, [1.5]), (2, "b", None)]
+    assert arrow.from_ipc(arrow.to_ipc(df.limit(0)), df.schema).isEmpty()
+
+
+def test_session_notes(spark):
+    empty = catalog.Catalog.empty(spark)
+    assert empty.notes("s").isEmpty()
+    c = empty.put("sessions", {"id": "s", "username": "u", "started": 1, "seen": 1, "active": True})
+    c = c.note(spark.createDataFrame([("s", "Info", "m", 2), ("s", "error", "n", 1), (None, "info", "o", 3), ("t", "info", "p", 4)], "session string, level string, message string, at long"))
+    assert [r.message for r in c.notes("s").collect()] == ["n", "m"]
+    assert [r.message for r in c.notes("s", "INFO").collect()] == ["m"]
+    assert {r.message for r in c.clear_notes("s").session_log.collect()} == {"o", "p"}
+    assert {r.message for r in c.clean_notes().session_log.collect()} == {"m", "n"}
